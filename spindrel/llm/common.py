@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of row marks that one broadcast may hold, and bytes that one mark takes.
 MARKS_BYTES = 64 << 20
 MARK_BYTES = 40
@@ -35,6 +37,7 @@ class Scratch:
     """Written tables in the shared folder; each write cuts the lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/spindrel/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -54,6 +57,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,10 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import uniform_shuffle
+
+    rows = uniform_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return rows.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import round_trip
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -28,7 +60,10 @@ FROM t
 """
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op5_simhash": op5_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE = {
