@@ -24,6 +24,28 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -61,9 +83,12 @@ FROM t
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_ann": op3_ann,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
 }
 
 ORACLE = {
