@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count, redactions
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count(docs, redactions(F.col("text")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return counted.select("doc_id", "n_tokens", "n_tokens_after", "n_pieces", "n_encoded_again")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import uniform_shuffle
 
@@ -61,6 +71,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -82,10 +98,12 @@ FROM t
 """
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op3_ann": op3_ann,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_html_extraction": op6_html_extraction,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
