@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import POSITION_BITS, Scratch, without
 
 #: Rows of a block: what one task permutes at a time.
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 17
 #: numpy draws from populations below this.
 _NUMPY_MAX = 10**9
 
