@@ -314,32 +314,35 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _digests(path: str):
+def _digests(path: str, keep: bool = False):
     def run(texts: pd.Series) -> pd.DataFrame:
         bpe, out = load(path), []
         for text in texts:
-            ids, text_of, n, decoder = hashlib.sha256(), hashlib.sha256(), 0, bpe.decoder
+            ids, text_of, n, decoder, kept = hashlib.sha256(), hashlib.sha256(), 0, bpe.decoder, []
             for packed in bpe.feed(text or ""):
                 n += len(packed) // 4
+                if keep:
+                    kept.append(packed)
                 ids.update(packed)
                 text_of.update(decoder.feed(packed))
             text_of.update(decoder.finish())
-            out.append((n, ids.hexdigest(), text_of.hexdigest()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out.append((n, ids.hexdigest(), text_of.hexdigest(), b"".join(kept))[: 4 if keep else 3])
+        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 if keep else 3])
 
     return run
 
 
-def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: bool = False) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text.
 
-    Ids and decoded text are hashed as they stream by.  Null counts as empty
-    (no tokens, digests of nothing).  Columns of the three names are replaced,
+    Ids and decoded text are hashed as they stream by; ``keep`` adds the ids as
+    ``ids`` (binary: unsigned 32-bit integers, the lowest byte first).  Null counts as empty
+    (no tokens, digests of nothing).  Columns of these names are replaced,
     others pass unchanged.
     """
-    base = without(docs, "n_tokens", "ids_sha256", "decoded_sha256", "__bpe")
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return base.withColumn("__bpe", F.pandas_udf(_digests(path), kind)(F.col(text_col))).select(
+    base = without(docs, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep else []), "__bpe")
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep else "")
+    return base.withColumn("__bpe", F.pandas_udf(_digests(path, keep), kind)(F.col(text_col))).select(
         *[F.col(f"`{c}`") for c in base.columns], "__bpe.*"
     )
 

@@ -62,6 +62,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import Scratch
+    from .mixing import TARGETS, fit, memberships, rates
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    rows = Scratch(spark, "op8").write(memberships(docs, model).drop("text"))
+    return rows.withColumn("rate", rates(rows, TARGETS).column())
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +115,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_html_extraction": op6_html_extraction,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }

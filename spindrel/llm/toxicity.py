@@ -79,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
     return train([np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy(float), chosen)
 
 
-def _scores(machine: Machine):
+def scores(machine: Machine):
     def run(texts: pd.Series) -> pd.Series:
         find = finder(machine.chosen)
         z = np.array([machine.logit(find(t)) for t in texts])
@@ -96,7 +96,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, id_co
     replaced, others pass unchanged; repeated rows get equal scores.
     """
     base = without(docs, "held_out", "score", "predicted")
-    scored = base.withColumn("score", F.pandas_udf(_scores(machine), "double")(F.col(text_col)))
+    scored = base.withColumn("score", F.pandas_udf(scores(machine), "double")(F.col(text_col)))
     return scored.withColumns(
         {
             "held_out": F.coalesce(fold(F.col(id_col), 3) == 1, F.lit(False)),
