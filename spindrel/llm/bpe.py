@@ -22,7 +22,6 @@ import json
 import struct
 import unicodedata
 from codecs import getincrementaldecoder
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from typing import Iterable, Iterator
@@ -33,12 +32,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import held, without
 
 #: The words of the pattern, in the order in which they are tried.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of a text that are handled at a time; entries of each half of a cache.
-WINDOW, CACHE = 1 << 16, 250_000
+WINDOW, CACHE = 1 << 16, 150_000
 #: Words of more characters are not cached; bytes of a word that are merged at a time.
 LONG, STEP = 512, 8192
 _NONE = 1 << 60
@@ -103,6 +102,7 @@ class Bpe:
         self.words = Cache(lambda w: b"".join(map(_PACK, self.word_ids([w]))))
         self.chunks = Cache(self._chunk)
         self.path, self.library = path, None
+        self.spelled, self.meant = _tables(self)
         self.pieces = regex.compile(PATTERN)
         specials = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.specials = regex.compile(f"({specials})") if specials else None
@@ -270,48 +270,32 @@ class Decoder:
         if not ids:
             return b""
         if self.joined:
-            table = _spelled(self.bpe)
+            table = self.bpe.spelled
             out = b" ".join(map(table.__getitem__, ids))
             out = b" " + out if self.begun else out
             self.begun = True
             return out
-        table = _meant(self.bpe)
+        table = self.bpe.meant
         return self.state.decode(b"".join(map(table.__getitem__, ids))).encode()
 
     def finish(self) -> bytes:
         return b"" if self.joined else self.state.decode(b"", True).encode()
 
 
-_tables: dict[int, tuple[dict, dict]] = {}
+def _tables(bpe: Bpe) -> tuple[dict[int, bytes], dict[int, bytes]]:
+    """Of each id the token as the vocabulary spells it, and the bytes that it stands for."""
+    byte = {c: b for b, c in enumerate(byte_alphabet())}
+    spelled, meant = {}, {}
+    for i, name in bpe.names.items():
+        spelled[i] = name.encode()
+        body = name.removesuffix(bpe.suffix)
+        meant[i] = spelled[i] if name in bpe.special else bytes(byte[c] for c in body) + (b" " if body != name else b"")
+    return spelled, meant
 
 
-def _both(bpe: Bpe) -> tuple[dict, dict]:
-    if id(bpe) not in _tables:
-        byte = {c: b for b, c in enumerate(byte_alphabet())}
-        spelled, meant = {}, {}
-        for i, name in bpe.names.items():
-            spelled[i] = name.encode()
-            if name in bpe.special:
-                meant[i] = name.encode()
-            else:
-                body = name.removesuffix(bpe.suffix)
-                meant[i] = bytes(byte[c] for c in body) + (b" " if body != name else b"")
-        _tables[id(bpe)] = spelled, meant
-    return _tables[id(bpe)]
-
-
-def _spelled(bpe: Bpe) -> dict[int, bytes]:
-    return _both(bpe)[0]
-
-
-def _meant(bpe: Bpe) -> dict[int, bytes]:
-    return _both(bpe)[1]
-
-
-@lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
     """The model of a file, once for each Python worker."""
-    return Bpe(path)
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def _digests(path: str, keep: bool = False):

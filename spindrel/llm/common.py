@@ -115,3 +115,18 @@ def marked(rows: DataFrame, row_id: str, marks: DataFrame, keep: bool) -> DataFr
         found = found.drop("__mark_key", "__mark_bits")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+_slot: list = [None, None]
+
+
+def held(key: tuple, make):
+    """What ``make`` gave for ``key`` in this Python worker.
+
+    A worker holds one such object: what an earlier stage of the same worker
+    has held is let go first, so that caches of several stages don't add up.
+    """
+    if _slot[0] != key:
+        _slot[:] = [None, None]
+        _slot[:] = [key, make()]
+    return _slot[1]

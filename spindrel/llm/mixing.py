@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, id_col: str = "
     rows = sample(docs, labels, {"quality": "quality", "toxic": "toxic"}, limit, use, id_col, text_col)
     rows = rows.withColumn("y", domain(F.col("quality"), F.col("toxic"))).where("y is not null")
     rows = Scratch(docs.sparkSession, "mixing").write(rows)
-    terms = np.union1d(chosen_terms(rows, "quality", TERMS), chosen_terms(rows, "toxic", TERMS))
+    terms = chosen_terms(rows, ["quality", "toxic"], TERMS)
     got = rows.select(statistics(F.col("text")).alias("s"), F.pandas_udf(places(terms), "array<int>")("text").alias("x"), "y", "id")
     got = got.orderBy(F.xxhash64("id"), "id").limit(limit).select("s.*", "x", "y").toPandas()
     if not len(got):

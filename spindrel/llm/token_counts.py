@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 from itertools import accumulate
 from operator import itemgetter
 from typing import Sequence
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import held, without
 
 #: The pre-tokens of the byte-level vocabulary of 50,257 ids.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,7 +34,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Pre-tokens of a leaf or children of a node, at most; counts that are remembered.
-FAN, CACHE = 32, 400_000
+FAN, CACHE = 32, 300_000
 #: Pre-tokens before and after an edit whose limits it may move.
 CONTEXT = 2
 EDITS = T.ArrayType(
@@ -62,9 +61,9 @@ class Counter(dict):
         return (LATIN if text.isascii() or max(text) <= "\xff" else self.pattern).findall(text)
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    """The counter of a file, once for each Python worker."""
+    return held(("counts", path), lambda: Counter(path))
 
 
 class Node:

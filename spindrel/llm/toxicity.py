@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
     """A machine learned from at most ``limit`` labelled texts outside the held-out fold (crc32 of the id modulo 3 is 1)."""
     use = F.coalesce(fold(F.col(id_col), 3) != 1, F.lit(False)) & F.col(label).isNotNull()
     rows = Scratch(docs.sparkSession, "toxicity").write(sample(docs, labels, {label: "y"}, limit, use, id_col, text_col))
-    chosen = chosen_terms(rows, "y", TERMS)
+    chosen = chosen_terms(rows, ["y"], TERMS)
     got = rows.select(F.pandas_udf(places(chosen), "array<int>")("text").alias("x"), "y", "id").orderBy(F.xxhash64("id"), "id").limit(limit).toPandas()
     return train([np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy(float), chosen)
 
