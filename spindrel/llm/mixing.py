@@ -14,6 +14,7 @@ driver.  The rate of a document is the chain of all steps over its posterior.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -71,7 +72,7 @@ def train(stats: np.ndarray, found: list[np.ndarray], y: np.ndarray, domains: in
         z = np.exp(z - z.max(1, keepdims=True))
         g = (z / z.sum(1, keepdims=True) - hot) / n
         nw, nb = u - step * (a.T @ g + penalty * u), ub - step * g.sum(0)
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        t2 = (1 + sqrt(1 + 4 * t * t)) / 2  # no numpy scalar, which would widen the arrays
         u, ub = nw + (t - 1) / t2 * (nw - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = nw, nb, t2
     w = w.astype(float)
