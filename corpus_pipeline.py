@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from spindrel.llm import bpe, exact_dedup, mixing, resemblance, toxicity
 from spindrel.llm.common import Scratch, table
 
 
@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return simhash.near_dedup(docs)
+    """One document of each class of near-duplicates: five words, similarity of at least 0.8."""
+    return resemblance.near_dedup(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
-    ("simhash_near_dedup", drop_near_copies),
+    ("near_dedup", drop_near_copies),
     ("mixing", mix_domains),
     ("bpe", encode),
 ]
