@@ -47,8 +47,16 @@ SAME = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
     "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+#: What a head may hold; anything else ends it.
+HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template".split())
+#: Dropped elements that only end tags of table parts leave, if they end by an outer end tag.
+SCOPES = frozenset("td th caption table object template".split())
+TABLE = frozenset("table tr tbody thead tfoot".split())
 #: Words in a class, id or role that mark what isn't the article.
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|breadcrumbs?|combx|comments?|"
@@ -66,10 +74,10 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "score", "text", "links", "weight")
+    __slots__ = ("tag", "parent", "items", "score", "text", "links", "weight", "dropped")
 
-    def __init__(self, tag: str, parent: "Node | None", weight: float = 0.0):
-        self.tag, self.parent, self.weight = tag, parent, weight
+    def __init__(self, tag: str, parent: "Node | None", weight: float = 0.0, dropped: bool = False):
+        self.tag, self.parent, self.weight, self.dropped = tag, parent, weight, dropped
         self.items: list = []  # strings and nodes, in page order
         self.score, self.text, self.links = 0.0, 0, 0
 
@@ -90,19 +98,63 @@ def _judged(tag: str, attrs: str) -> float | None:
     return weight + (10.0 if names and LIKELY.search(names) else 0.0)
 
 
+def _ended(node: Node, tag: str) -> Node | None:
+    """The open element that an end tag ends, if any."""
+    up = node
+    while up.dropped and up.tag != tag:
+        up = up.parent
+    if up.dropped:
+        return up
+    up = node
+    while up.parent is not None and up.tag != tag:
+        if tag not in BLOCKS and up.tag in BLOCKS or up.dropped and up.tag in SCOPES and tag not in TABLE:
+            return None
+        up = up.parent
+    return up if up.parent is not None else None
+
+
+def _implied(node: Node, tag: str) -> Node:
+    """The open element once a start tag has closed what HTML closes by itself."""
+    if node.dropped and node.tag == "head" and tag not in HEAD:
+        node = node.parent
+    if tag in ENDS_P:
+        up = node
+        while up.parent is not None and up.tag not in ("p", "td", "th", "li", "table", "div", "article", "section"):
+            if up.dropped and up.tag in DROPPED:
+                break
+            up = up.parent
+        if up.tag == "p" and up.parent is not None:
+            node = up.parent
+    if tag in SAME:
+        closes, stops = SAME[tag]
+        up = node
+        while up.parent is not None and up.tag not in closes and up.tag not in stops:
+            if up.dropped and (up.tag in DROPPED or tag in ("li", "dt", "dd") and up.tag in BLOCKS - {"div", "p", "address"}):
+                break
+            up = up.parent
+        if up.parent is not None and up.tag in closes:
+            node = up.parent
+    return node
+
+
 def parse(page: str) -> Node:
-    """The tree of a page without what can't be main text."""
+    """The tree of a page without what can't be main text.
+
+    Dropped elements are open like any other, so that implied ends and end tags
+    of ancestors end them, but neither they nor their texts are in the tree.
+    """
     root = Node("html", None)
-    at, node, skipped, depth = 0, root, "", 0
+    at, node = 0, root
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
+        text = page[at : m.start() if m else n]
+        if text and node.dropped and node.tag == "head" and text.strip():
+            node = node.parent
+        if text and not node.dropped:
+            node.items.append(text)
         if not m:
-            if not skipped:
-                node.items.append(page[at:])
             break
-        if m.start() > at and not skipped:
-            node.items.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -111,41 +163,22 @@ def parse(page: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if skipped:
-            if tag == skipped:
-                depth += -1 if ends else 0 if m[3].endswith("/") else 1
-                if not depth:
-                    skipped = ""
-            continue
         if ends:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in BLOCKS and up.tag in BLOCKS:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            found = _ended(node, tag)
+            if found is not None:
+                node = found.parent
+            continue
+        node = _implied(node, tag)
+        void = tag in VOID or m[3].endswith("/") and (tag not in BLOCKS or node.dropped)
+        if node.dropped:
+            if not void and tag not in ("html", "body"):
+                node = Node(tag, node, dropped=True)
             continue
-        if tag in ENDS_P:
-            up = node
-            while up is not root and up.tag not in ("p", "td", "th", "li", "table", "div", "article", "section"):
-                up = up.parent
-            if up.tag == "p" and up is not root:
-                node = up.parent
-        if tag in SAME:
-            closes, stops = SAME[tag]
-            up = node
-            while up is not root and up.tag not in closes and up.tag not in stops:
-                up = up.parent
-            if up is not root and up.tag in closes:
-                node = up.parent
         weight = _judged(tag, m[3])
-        void = tag in VOID or m[3].endswith("/") and tag not in BLOCKS
         if weight is None:
-            if not void:
-                skipped, depth = tag, 1
             node.items.append(Node("skip", node))
+            if not void:
+                node = Node(tag, node, dropped=True)
         elif void:
             if tag in BLOCKS:
                 node.items.append(Node(tag, node))

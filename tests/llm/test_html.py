@@ -18,6 +18,28 @@ def test_pages(page):
     assert main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    f"<article><p class=share>Share, this{ARTICLE}</article>",
+    f"<body><div><ul><li class=nav-item>Home<li class=nav-item>News</ul>{ARTICLE}</div>",
+    f"<div><dl><dt class=menu>One<dd class=menu>Two</dl>{ARTICLE}</div>",
+    f"<div><table><tr class=ad><td>Buy, now<tr><td class=menu>More</table>{ARTICLE}</div>",
+    f"<div><table><tbody><tr><td class=ad>Buy<tbody class=ad><tr><td>now</table>{ARTICLE}</div>",
+    f"<div><nav><ul><li>Home<li>News</ul><p>Go<div>deep</nav>{ARTICLE}</div>",
+    f"<html><head><meta charset=utf-8><title>T, t</title><body><div>{ARTICLE}</div>",
+])
+def test_omitted_ends_end_what_is_dropped(page):
+    assert main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("page", [
+    f"<article>{ARTICLE}<nav><ul><li><p>a</div><li>b<div/></ul></nav></article>",
+    f"<article>{ARTICLE}<table class=ad><tr><td>x</article></div>y<td>z</table></article>",
+    f"<article>{ARTICLE}<aside><section><li>a<li>b</section>c</aside></article>",
+])
+def test_dropped_stays_dropped(page):
+    assert main_text(page) == TEXT
+
+
 def test_inline_markup_joins_and_blocks_part():
     assert main_text("<article><p>a<b>b</b>c<br>d<p>e <i>f</i></article>") == "abc d e f"
 
