@@ -96,14 +96,19 @@ def initials(d: Demo) -> DataFrame:
     return d.companies.select("id", X.initials(F.col("name")).alias("initials"))
 
 
+def _whole(d: Demo) -> DataFrame:
+    """Whole texts: headline and body as they stand."""
+    return d.table("documents").select(F.col("doc_id").alias("story_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 @query
 def multi_replace(d: Demo) -> DataFrame:
-    return d.stories.select("story_id", A.multi_replace(PATTERNS, F.col("headline")).alias("headline"))
+    return _whole(d).select("story_id", A.multi_replace(PATTERNS, F.col("text")).alias("text"))
 
 
 @query
 def multi_annotate(d: Demo) -> DataFrame:
-    return d.stories.select("story_id", A.multi_annotate(PATTERNS, F.col("headline")).alias("headline"))
+    return _whole(d).select("story_id", A.multi_annotate(PATTERNS, F.col("text")).alias("text"))
 
 
 PATTERNS = [r"(?P<NUMBER>[0-9]+)", r"(?P<EMPTY>[*#]+)", r"(?P<UPPER>[A-Z]{3,})"]

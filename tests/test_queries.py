@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -30,3 +32,19 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name,shown", [("multi_replace", " {1} "), ("multi_annotate", " {0} {1} ")])
+def test_patterns_over_whole_texts(spark, sf, name, shown):
+    def plain(text):
+        out, at = "", 0
+        for m in re.finditer("([0-9]+)|([*#]+)|([A-Z]{3,})", text):
+            kind = "NUMBER" if m[1] else "UPPER" if m[3] else ""
+            out += text[at : m.start()] + (shown.format(m[0], kind) if kind else "")
+            at = m.end()
+        return out + text[at:]
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r["doc_id"], plain(r["text"] or "")) for r in docs)
+    assert any("\n" in t for _, t in want)
+    assert sorted(map(tuple, QUERIES[name](spark, sf).select("story_id", "text").collect())) == want
