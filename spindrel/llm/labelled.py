@@ -13,7 +13,7 @@ from .common import Scratch, held
 TERM_BITS, PREFIXES = 20, (3, 4, 5, 6, 8)
 #: A bucket counts as a term of its own for each of these numbers of different words that it is met in.
 LEVELS = (1, 2, 3, 5)
-#: Bytes of a text that are hashed at a time; a longer word is cut there.
+#: Bytes of a text that are hashed at a time; a longer word is a window of its own.
 WINDOW = 1 << 16
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
 
@@ -59,18 +59,37 @@ def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
 
 
 def windows(text: str | None):
-    """The lower-cased text in bytes, cut between words where it can be."""
+    """The lower-cased text in bytes, cut between words; a window of more than WINDOW bytes is one word."""
     data = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
     at = 0
     while at < len(data):
         to = min(len(data), at + WINDOW)
         if to < len(data):
             gaps = np.flatnonzero(~_LETTER[data[at:to]])
-            to = at + int(gaps[-1]) + 1 if len(gaps) else to
+            if len(gaps):
+                to = at + int(gaps[-1]) + 1
+            while not len(gaps) and to < len(data):  # the word goes on
+                gaps = np.flatnonzero(~_LETTER[data[to : to + WINDOW]])
+                to += int(gaps[0]) if len(gaps) else len(data[to : to + WINDOW])
         yield data[at:to]
         at = to
 
 
+def _running(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * _POWERS[: len(data)], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def _long_word(data: np.ndarray) -> np.ndarray:
+    """The hash of one word of any length, as word_terms forms it."""
+    total, power = 0, 1
+    for at in range(0, len(data), WINDOW):
+        total += power * int(_running(data[at : at + WINDOW])[-1])
+        power = power * int(_POWERS[WINDOW]) % (1 << 64)
+    return np.array([total % (1 << 64)], np.uint64)
+
+
 def word_terms(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each word (a run of letters) a hash, and the buckets of the word and of its beginnings (-1: it is too short).
 
@@ -78,13 +97,15 @@ def word_terms(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     window are hashed at once.
     """
     n = len(data)
-    inside = np.zeros(n + 2, bool)
-    inside[1:-1] = _LETTER[data]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * _POWERS[:n], dtype=np.uint64, out=sums[1:])
-    whole = (sums[end] - sums[start]) * _INVERSE[start]
+    if n > WINDOW:
+        start, end, whole, data, n = np.array([0]), np.array([n]), _long_word(data), data[:8], 8
+    else:
+        inside = np.zeros(n + 2, bool)
+        inside[1:-1] = _LETTER[data]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = _running(data)
+        whole = (sums[end] - sums[start]) * _INVERSE[start]
     size = np.minimum(end - start, 8)
     padded = np.append(data, np.zeros(8, np.uint8))
     first = np.ndarray(n, "<u8", padded, strides=(1,))[start] & _FIRST[size]
