@@ -5,15 +5,15 @@ domains.  Its tokens belong to each domain by that share.  Projected gradient
 least squares then fits a rate of repetition for each document, not negative,
 so that the expected tokens of each domain match the targets.
 
-Documents with equal posteriors (three decimals) get equal rates, so tokens
-are first summed over the posteriors that occur; a step of the descent is one
-sum over that table on the executors and brings a number for each domain to the
-driver.  The rate of a document is the chain of all steps over its posterior.
+A document's rate is the projection onto its bounds of 1 plus its posterior times
+the sum of the steps made, so a step is a number for each domain: one scan of
+sizes and whole posteriors gives its sums, and nothing else comes to the driver.
+Tokens are words between white space, unless a column of other sizes is named.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import sqrt
 
 import numpy as np
@@ -27,7 +27,6 @@ from .statistics import NAMES, measure, statistics
 
 #: Labelled texts that are learned from, at most; terms chosen for each label; bounds that cut a statistic.
 SAMPLE, TERMS, CUTS = 10_000, 512, 7
-DIGITS = 3
 #: Domains and their target shares of tokens, as the production run mixes them.
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 
@@ -45,12 +44,6 @@ class Classifier:
     bins: np.ndarray  # (statistics, bounds + 1, domains)
     weights: np.ndarray  # (terms, domains)
 
-    def posterior(self, stats: tuple[float, ...], found: np.ndarray) -> np.ndarray:
-        at = (np.asarray(stats)[:, None] > self.cuts).sum(1)
-        z = self.bias + self.bins[np.arange(len(at)), at].sum(0) + self.weights[found].sum(0)
-        z = np.exp(z - z.max())
-        return z / z.sum()
-
 
 def train(stats: np.ndarray, found: list[np.ndarray], y: np.ndarray, domains: int, terms: np.ndarray, penalty: float = 1e-4) -> Classifier:
     """Softmax regression on binned statistics and terms, by accelerated gradients with a quadratic penalty."""
@@ -94,88 +87,136 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, id_col: str = "
     return train(got[list(NAMES)].to_numpy(float), found, got["y"].to_numpy(int), len(TARGETS), terms)
 
 
+def posteriors(model: Classifier, texts) -> tuple[np.ndarray, np.ndarray]:
+    """(words, posteriors) of whole texts."""
+    find = finder(model.terms)
+    stats = np.array([measure(t) for t in texts], float).reshape(-1, len(NAMES))
+    found = [find(t) for t in texts]
+    at = (stats[:, :, None] > model.cuts).sum(2)
+    z = model.bias + model.bins[np.arange(at.shape[1]), at].sum(1)
+    of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    if len(of):
+        np.add.at(z, of, model.weights[np.concatenate(found)])
+    z = np.exp(z - z.max(1, keepdims=True))
+    # The statistic is the logarithm of 1 + words, which gives their number back without an error.
+    return np.rint(np.expm1(stats[:, NAMES.index("words")])).astype(np.int64), z / z.sum(1, keepdims=True)
+
+
 def _members(model: Classifier, names: list[str]):
     def run(texts: pd.Series) -> pd.DataFrame:
-        find, out = finder(model.terms), []
-        for text in texts:
-            p = np.round(model.posterior(measure(text), find(text)), DIGITS)
-            out.append((len((text or "").encode("utf-8", "replace").split()), *p.tolist()))
-        return pd.DataFrame(out, columns=["n_tokens", *names])
+        words, p = posteriors(model, texts.tolist())
+        return pd.DataFrame({"n_words": words, **{n: p[:, i] for i, n in enumerate(names)}})
 
     return run
 
 
 def memberships(docs: DataFrame, model: Classifier, text_col: str = "text", domains: tuple[str, ...] = tuple(TARGETS)) -> DataFrame:
-    """``docs`` with n_tokens (words of the whole text) and a posterior p_<domain> for each domain.
+    """``docs`` with n_words (runs between white space, of the whole text) and a posterior p_<domain> for each domain.
 
-    Null and empty texts have no tokens and the posterior of an empty text.
+    Null and empty texts have no words and the posterior of an empty text.
     Columns of those names are replaced, others pass unchanged.
     """
     names = [f"p_{d}" for d in domains]
-    base = without(docs, "n_tokens", *names, "__mix")
-    run = F.pandas_udf(_members(model, names), "n_tokens long, " + ", ".join(f"{n} double" for n in names))
+    base = without(docs, "n_words", *names, "__mix")
+    run = F.pandas_udf(_members(model, names), "n_words long, " + ", ".join(f"{n} double" for n in names))
     return base.withColumn("__mix", run(F.col(text_col))).select(*[F.col(f"`{c}`") for c in base.columns], "__mix.*")
 
 
 @dataclass
 class Rates:
-    """Rates as a chain of gradient steps over posteriors."""
+    """Rates as a projection onto their bounds: of 1 plus the posterior times the sum of all steps.
+
+    ``want`` and ``reached`` are tokens of each domain as shares of all tokens
+    at rate 1.  ``converged``: steps went on until every domain was within the
+    tolerance or no step could bring them nearer.  ``feasible``: each domain is
+    within 1 % of what is wanted; if not, ``reached`` is the nearest, in the
+    sense of ``rates``, that bounds and posteriors allow.
+    """
 
     domains: list[str]
-    shrink: float
-    pull: float
     most: float | None
-    slopes: list[np.ndarray] = field(default_factory=list)  # of each step, a number for each domain
+    steps: np.ndarray  # their sum, a number for each domain
+    want: np.ndarray | None = None
+    reached: np.ndarray | None = None
+    converged: bool = True
+    feasible: bool = True
 
     def of(self, p: np.ndarray) -> np.ndarray:
         """The rates of rows of posteriors."""
-        r = np.ones(len(p))
-        for slope in self.slopes:
-            r = np.clip(r * self.shrink + self.pull + p @ slope, 0, self.most)
-        return r
+        return np.clip(1 + p @ self.steps, 0, self.most)
+
+    def free(self) -> Column:
+        """Before the projection."""
+        return sum((F.col(f"p_{d}") * float(x) for d, x in zip(self.domains, self.steps, strict=True)), F.lit(1.0))
 
     def column(self) -> Column:
-        run = lambda *p: pd.Series(self.of(np.stack([x.to_numpy(float) for x in p], 1)))
-        return F.pandas_udf(lambda p: run(*[p[c] for c in p]), "double")(F.struct(*[F.col(f"p_{d}") for d in self.domains]))
+        above = F.greatest(self.free(), F.lit(0.0))
+        return above if self.most is None else F.least(above, F.lit(float(self.most)))
 
 
-def rates(rows: DataFrame, targets: dict[str, float], most: float | None = None, steps: int = 40, pull: float = 1e-3) -> Rates:
-    """Rates for ``rows`` (written, with n_tokens and posteriors) that bring domains to ``targets``.
+def rates(
+    rows: DataFrame, targets: dict[str, float], most: float | None = None, size_col: str = "n_words", limit: int = 200, close: float = 1e-3, pull: float = 1e-5
+) -> Rates:
+    """Rates for ``rows`` (written, with tokens ``size_col`` and posteriors) that bring domains to ``targets``.
 
     Minimised over rates >= 0 (and <= ``most``, if given): the squared
-    difference between expected and wanted tokens of each domain, divided by
-    the tokens it has, plus ``pull`` times the squared distance of rates from 1.
-    The total is such that the domain with the largest target keeps its size.
-    Without tokens at all every rate is 1.
+    difference between expected and wanted tokens of each domain, over the
+    tokens it has, plus ``pull`` times the squared distance of rates from 1,
+    weighted by tokens.  The total is such that the domain with the largest
+    target keeps its size; without tokens at all every rate is 1.
+
+    A step is the gradient, scaled by the second moments of the posteriors
+    whose rates are within their bounds, and halved until it brings rates
+    nearer to the minimum.  Steps end when every domain is within ``close`` of
+    what is wanted, at the minimum, or after ``limit``, which is told.
     """
-    names = list(targets)
+    names, n = list(targets), len(targets)
     w = np.array(list(targets.values()), float)
-    w = w / w.sum()
-    cells = rows.groupBy(*[F.col(f"p_{d}") for d in names]).agg(F.sum("n_tokens").cast("double").alias("t"))
-    cells = Scratch(rows.sparkSession, "mixing").write(cells)
-    out = Rates(names, 1 - pull / (1 + pull), pull / (1 + pull), most)
-
-    def totals() -> np.ndarray:
-        now = Rates(names, out.shrink, out.pull, most, list(out.slopes))
-
-        def part(batches):
-            for x in batches:
-                p = x[[f"p_{d}" for d in names]].to_numpy(float)
-                yield pd.DataFrame([(now.of(p) * x["t"].to_numpy()) @ p], columns=names)
-
-        sums = cells.mapInPandas(part, ", ".join(f"{d} double" for d in names)).agg(*[F.sum(d) for d in names]).first()
-        return np.array([float(x or 0) for x in sums])
-
-    have = totals()
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    p, size = [F.col(f"p_{d}") for d in names], F.col(size_col).cast("double")
+
+    def totals(at: Rates) -> tuple[np.ndarray, np.ndarray, float]:
+        """Tokens of each domain at these rates, second moments of rows within their bounds, and the sum of what rates are the slope of."""
+        free, rate = at.free(), at.column()
+        inner = F.when((free > 0) & (F.lit(True) if most is None else free < most), size)
+        sums = [F.sum(size * x * rate) for x in p] + [F.sum(inner * p[i] * p[j]) for i, j in pairs]
+        got = rows.agg(*sums, F.sum(size * (rate * free - rate * rate / 2))).first()
+        got = np.array([float(x or 0) for x in got])
+        moments = np.zeros((n, n))
+        for (i, j), x in zip(pairs, got[n:], strict=False):
+            moments[i, j] = moments[j, i] = x
+        return got[:n], moments, got[-1]
+
+    return descend(Rates(names, most, np.zeros(n)), totals, w / w.sum(), limit, close, pull)
+
+
+def descend(out: Rates, totals, w: np.ndarray, limit: int, close: float, pull: float) -> Rates:
+    """Fits ``out`` to shares ``w``, given a function from rates to sums."""
+    have, moments, slope_of = totals(out)
     total = have.sum()
     if not total:
         return out
-    have = have / total
-    want = w * have[np.argmax(w)] / w.max()
-    scale = np.maximum(have, 1e-6)
-    for _ in range(steps):
-        out.slopes.append(-(totals() / total - want) / scale / (1 + pull))
-    return out
+    scale = np.maximum(have / total, 1e-9)
+    want = w * have[np.argmax(w)] / total / w.max()
+    near = lambda gap, share: bool((np.abs(gap) <= share * np.maximum(want, close * w.max())).all())
+    value = lambda at, slope_of: slope_of / total - want @ at + pull / 2 * (scale * at) @ at
+    gap, at, now, tried, done = have / total - want, out.steps, value(out.steps, slope_of), 0, False
+    while not (done or near(gap, close)) and tried < limit:
+        gradient = gap + pull * scale * at
+        step = -np.linalg.solve(moments / total + pull * np.diag(scale), gradient)
+        while tried < limit:
+            tried += 1
+            tokens, moments, slope_of = totals(Rates(out.domains, out.most, at + step))
+            new = value(at + step, slope_of)
+            if new <= now + 1e-4 * (gradient @ step):
+                done = now - new <= 1e-12 * max(1.0, abs(now))
+                at, now, gap = at + step, new, tokens / total - want
+                break
+            if -(gradient @ step) <= 1e-12 * max(1.0, abs(now)):
+                done = True
+                break
+            step = step / 2
+    return Rates(out.domains, out.most, at, want, gap + want, done or near(gap, close), near(gap, 0.01))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float | None = 1.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +228,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     targets = targets or TARGETS
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    names = ["n_tokens", *[f"p_{d}" for d in targets], "__mix", "__copies", "__rate"]
+    names = ["n_words", *[f"p_{d}" for d in targets], "__mix", "__copies", "__rate"]
     own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in {n.lower() for n in names}}
     rows = Scratch(docs.sparkSession, "mixing").write(
         memberships(docs.withColumnsRenamed(own), model, own.get(text_col, text_col), tuple(targets))

@@ -125,31 +125,79 @@ def test_one_class_or_no_labels(spark, tables):
     assert mixing.mix(docs.limit(20), none).count() <= 20
 
 
-def plain_descent(t, p, w, most, steps=40, pull=1e-3):
-    r, total = np.ones(len(t)), (t[:, None] * p).sum()
+def objective(r, t, p, w, pull=1e-5):
+    total = t.sum()
     have = (t[:, None] * p).sum(0) / total
     want = w * have[np.argmax(w)] / w.max()
+    gap = ((r * t)[:, None] * p).sum(0) / total - want
+    return (gap**2 / have).sum() / 2 + pull / 2 * (t * (r - 1) ** 2).sum() / total, gap, have, want
+
+
+def plain_descent(t, p, w, most, steps=4000, pull=1e-5):
+    r = np.ones(len(t))
     for _ in range(steps):
-        gap = ((r * t)[:, None] * p).sum(0) / total - want
-        r = np.clip(r - (p @ (gap / np.maximum(have, 1e-6)) + pull * (r - 1)) / (1 + pull), 0, most)
+        _, gap, have, _ = objective(r, t, p, w)
+        r = np.clip(r - (p @ (gap / have) + pull * (r - 1)) / (1 + pull), 0, most)
     return r
 
 
+HARD, MIXED, SOFT = (0.02, 0.002, 0.0008), (0.9, 0.3, 0.1), (3.0, 0.6, 0.2)
+
+
+@pytest.mark.parametrize("kind", [HARD, MIXED, SOFT])
+@pytest.mark.parametrize("target", [(0.9, 0.08, 0.02), (0.05, 0.05, 0.9), (0.6, 0.3, 0.1), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0)])
+@pytest.mark.parametrize("most", [None, 1.0])
+def test_descent_reaches_the_minimum(kind, target, most):
+    rng = np.random.default_rng(1)
+    p, t, w = rng.dirichlet(kind, 2000), rng.integers(0, 500, 2000).astype(float), np.array(target)
+    p[: len(p) // 3] = p[0]  # a third of all rows have one posterior
+
+    def totals(at):
+        v = 1 + p @ at.steps
+        r, s = np.clip(v, 0, most), t[:, None] * p
+        free = (v > 0) & (v < (np.inf if most is None else most))
+        return r @ s, s[free].T @ p[free], float((t * (r * v - r * r / 2)).sum())
+
+    got = mixing.descend(mixing.Rates(list("abc"), most, np.zeros(3)), totals, w, 200, 1e-3, 1e-5)
+    r = got.of(p)
+    assert got.converged and r.min() >= 0 and r.max() <= (most or np.inf)
+    value, gap, have, want = objective(r, t, p, w)
+    assert np.abs(gap + want - got.reached).max() < 1e-9
+    near = 0.5 * ((1e-3 * np.maximum(want, 1e-3 * w.max())) ** 2 / have).sum()  # it may end as near as that
+    assert value <= objective(plain_descent(t, p, w, most), t, p, w)[0] + near + 1e-9
+    if got.feasible:
+        assert (np.abs(gap) <= 0.01 * np.maximum(want, 1e-3)).all()
+    else:  # nearer is out of reach: no rate within the bounds that moves lowers the difference
+        slope = p @ (gap / have) + 1e-5 * (r - 1)
+        moves = (slope < 0) & (r < (most or np.inf)) | (slope > 0) & (r > 0)
+        assert np.abs(slope[moves] * t[moves] / t.sum()).sum() < 1e-3
+
+
 @pytest.mark.parametrize("most", [None, 1.0])
-def test_rates_equal_plain_descent(spark, most):
+def test_rates_over_rows(spark, most):
     rng = np.random.default_rng(0)
-    p = np.round(rng.dirichlet([0.3, 0.3, 0.3], 400), 3)
-    t = rng.integers(0, 500, 400)
+    p, t = rng.dirichlet([0.3, 0.3, 0.3], 400), rng.integers(0, 500, 400)
     names = list(mixing.TARGETS)
-    rows = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(t, p, strict=True)], "n_tokens long, " + ", ".join(f"p_{n} double" for n in names))
+    rows = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(t, p, strict=True)], "n_words long, " + ", ".join(f"p_{n} double" for n in names))
     rows = Scratch(spark, "t").write(rows.repartition(3))
     target = {"clean": 0.5, "low": 0.3, "toxic": 0.2}
-    got = rows.withColumn("r", mixing.rates(rows, target, most).column()).toPandas()
-    want = plain_descent(got["n_tokens"].to_numpy(float), got[[f"p_{n}" for n in names]].to_numpy(), np.array(list(target.values())), most)
-    assert np.abs(got["r"] - want).max() < 1e-6 and got["r"].min() >= 0
+    found = mixing.rates(rows, target, most)
+    got = rows.withColumn("r", found.column()).toPandas()
+    assert np.abs(got["r"] - found.of(got[[f"p_{n}" for n in names]].to_numpy())).max() < 1e-9
+    sums = np.array([(got["r"] * got["n_words"] * got[f"p_{n}"]).sum() for n in names])
+    assert np.abs(sums / t.sum() - found.reached).max() < 1e-9
     if most is None:
-        sums = np.array([(got["r"] * got["n_tokens"] * got[f"p_{n}"]).sum() for n in names])
-        assert np.abs(sums / sums.sum() - list(target.values())).max() < 0.01
+        assert found.feasible and np.abs(sums / sums.sum() - list(target.values())).max() < 0.002
+    none = mixing.rates(rows.limit(0), target, most)
+    assert none.feasible and not none.steps.any()
+
+
+def test_memberships_are_whole(spark, tables):
+    docs, labels, _ = tables
+    model = mixing.fit(docs, labels)
+    out = mixing.memberships(docs.withColumn("n_words", F.lit("own")), model).toPandas()
+    assert (np.abs(out[["p_clean", "p_low", "p_toxic"]].sum(axis=1) - 1) < 1e-12).all()
+    assert out["n_words"].tolist() == [len((t or "").split()) for t in out["text"]]
 
 
 def test_mix(spark, tables):
