@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -21,14 +20,16 @@ POSITION_BITS = 33
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine), a temporary
-    folder is set as its checkpoint folder.
+    Only where the session names none and runs on one machine (as in tests), a
+    temporary folder is set as its checkpoint folder; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spindrel-"))
     return sc.getCheckpointDir()
 
@@ -85,25 +86,41 @@ def row_marks(rows: DataFrame, row_id: str) -> DataFrame:
     )
 
 
+def _cuts(marks: DataFrame, most: int) -> list[int]:
+    """Words that part ``marks`` into slices of ``most`` rows at most.
+
+    Words of a partition are numbers without large gaps, so counts are summed
+    over blocks of words: one row of counts for ``most // 8`` words at least.
+    """
+    word = F.expr(f"shiftleft(part, {POSITION_BITS - 6}) | word")
+    block = max(1, most // 8)
+    counts = marks.groupBy(F.floor(word / block).cast("long").alias("b")).count().orderBy("b").collect()
+    out, held = [], 0
+    for b, n in counts:
+        if held and held + n > most:
+            out.append(b * block)
+            held = 0
+        held += n
+    return out
+
+
 def marked(rows: DataFrame, row_id: str, marks: DataFrame, keep: bool) -> DataFrame:
     """The rows whose mark is set (``keep``) or not set, without a shuffle of rows.
 
     ``marks`` is a written table of at most one row for 64 rows.  It is
-    counted first; beyond MARKS_BYTES it is broadcast in slices of the
-    partition numbers, each joined to the rows of its slice alone, so that no
-    broadcast grows with the data.
+    counted first; beyond MARKS_BYTES it is broadcast in slices of the words
+    (partition and position), cut by their cumulated number, so that each holds
+    MARKS_BYTES at most and no broadcast grows with the data.
     """
-    size = marks.agg(F.count("*").alias("n"), F.max("part").alias("last")).first()
-    slices = max(1, math.ceil(size["n"] * MARK_BYTES / MARKS_BYTES))
-    step = (size["last"] or 0) // slices + 1
+    most, n = MARKS_BYTES // MARK_BYTES, marks.count()
+    cuts = [None, *_cuts(marks, most), None] if n > most else [None, None]
     out = None
-    for s in range(slices):
-        lo = s * step << POSITION_BITS
-        mine, few = rows, marks
-        if slices > 1:
-            upper = F.lit(True) if s == slices - 1 else F.col(row_id) < ((s + 1) * step << POSITION_BITS)
-            mine = rows.where((F.col(row_id) >= lo) & upper)
-            few = marks.where((F.col("part") >= s * step) & (F.col("part") < (s + 1) * step))
+    for low, high in zip(cuts, cuts[1:]):  # noqa: B905
+        mine, few, word = rows, marks, F.expr(f"shiftleft(part, {POSITION_BITS - 6}) | word")
+        if low is not None:
+            mine, few = mine.where(F.col(row_id) >= low << 6), few.where(word >= low)
+        if high is not None:
+            mine, few = mine.where(F.col(row_id) < high << 6), few.where(word < high)
         few = few.select(
             F.expr(f"shiftleft(part, {POSITION_BITS - 6}) | word").alias("__mark_key"),
             F.col("bits").alias("__mark_bits"),
@@ -117,6 +134,30 @@ def marked(rows: DataFrame, row_id: str, marks: DataFrame, keep: bool) -> DataFr
     return out
 
 
+#: A key with more rows than this, and with more than one in HOT_KEYS of all rows, is hot.
+HOT_ROWS, HOT_KEYS = 1 << 20, 1000
+
+
+def hot_join(rows: DataFrame, values: DataFrame, key: str, scratch: Scratch, sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``values``, which has one row at most for each ``key``.
+
+    Keys with more than 1 in HOT_KEYS of all rows are HOT_KEYS at most: their
+    values are written and broadcast, so a key that fills a third of all rows
+    is joined where its rows stand.  All others are shuffled.  ``sizes``: a
+    written table with the keys of ``rows``, if those aren't written.
+    """
+    sizes = rows if sizes is None else sizes
+    n = sizes.count()
+    if n <= HOT_ROWS:
+        return rows.join(values, key)
+    hot = sizes.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(HOT_ROWS, n // HOT_KEYS))
+    few = scratch.write(values.join(hot.select(key), key))
+    if few.isEmpty():
+        return rows.join(values, key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(rest.join(values, key))
+
+
 _slot: list = [None, None]
 
 

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import golomb
-from .common import POSITION_BITS, Scratch, marked, shuffle_partitions, without
+from .common import POSITION_BITS, Scratch, hot_join, marked, shuffle_partitions, without
 
 #: Bits of a fingerprint: a text of 10^10 others meets a false partner once in 28,000 times.
 FINGERPRINT_BITS = 48
+#: Rows whose fingerprints one owner holds at a time, on average.
+OWNER_ROWS = 1 << 22
 #: The characters that are deleted before texts are compared.
 DELETED = " \t\n\x0b\x0c\r"
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -137,11 +139,11 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     unchanged.
 
     ``owners``: ranges of the fingerprint space, by default as many as shuffle
-    partitions.  A fingerprint is sent once by each partition, so a text that
+    partitions and one for OWNER_ROWS rows at least.  A fingerprint is sent once by each partition, so a text that
     fills a third of all rows gives an owner one entry for each partition.
     """
     spark = docs.sparkSession
-    owners = owners or shuffle_partitions(spark)
+    owners = owners or max(shuffle_partitions(spark), -(-docs.count() // OWNER_ROWS))
     scratch = Scratch(spark, "exact")
     docs = without(docs, *OUT, *_ADDED.names)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + list(_ADDED))
@@ -170,14 +172,14 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         .groupBy("__sha")
         .agg(F.first("group_size").alias("group_size"), F.first("b").alias("b"), F.count("*").alias("n"))
         .select(
-            F.col("__sha").alias("__of"),
+            "__sha",
             F.when(F.col("n") > 1, F.raise_error(F.lit("two texts have one SHA-256"))).otherwise(F.col("group_size")).alias("group_size"),
             F.col("b.i").alias("keep_id"),
             F.col("b.r").alias("__kept"),
         )
     )
-    groups = scratch.write(groups)  # a scan on either side lets Spark split a skewed join
-    of_groups = suspects.join(groups, F.col("__sha") == F.col("__of")).withColumn("kept", F.col("__row") == F.col("__kept"))
+    sizes = suspects.select("__sha")
+    of_groups = hot_join(suspects, scratch.write(groups), "__sha", scratch, sizes).withColumn("kept", F.col("__row") == F.col("__kept"))
     alone = marked(rows, "__row", marks, keep=False).select(
         "*", F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )

@@ -1,13 +1,17 @@
-"""Near-duplicates by resemblance: the share of common runs of five words, at least 0.8.
-
-A node is a distinct set of runs.  Its MinHash values in ``BANDS`` bands of
-``ROWS`` give keys; nodes that share a key are candidates, and a pair is linked
-only if the exact Jaccard similarity of its sets reaches the bound.  A pair at
-0.8 shares no key with probability (1 - 0.8^6)^50, about 2.5e-7; a closer pair
-less often.
-
-Only keys that nodes share are kept. Two rounds compare one node of each bucket with the others; then all pairs of a
-bucket that are not yet in one class are compared, so no candidate is left out.
+"""SimHash near-duplicates under a bound on resemblance: the share of common runs of five words, at least 0.8.
+
+A node is a distinct set of runs.  The covering hashes of the SimHash operator
+give the first candidates: fingerprints over the same runs that differ in 3
+bits at most.  Pairs at 0.8 differ in about ten of the 64 bits, and covering
+masks for so many would be 2^11 tables, so the pairs beyond that radius come
+from MinHash values: nodes that share one of ``BANDS`` keys of ``ROWS`` values.
+A pair is linked only if the exact Jaccard similarity of its sets reaches the
+bound.  A pair at 0.8 shares no key with probability (1 - 0.8^6)^50, about
+2.5e-7; a closer pair less often.
+
+Only keys that nodes share are kept.  After the fingerprints, two rounds compare
+one node of each bucket with the others; then all pairs of a bucket that are not
+yet in one class are compared, so no candidate is left out.
 """
 
 from __future__ import annotations
@@ -18,9 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, marked, row_marks, without
+from .common import Scratch, hot_join, marked, row_marks, without
 from .components import components
-from .simhash import _LOWER
+from .simhash import _LOWER, BITS, SHINGLES_AT_ONCE, forest
 
 SHINGLE, BANDS, ROWS = 5, 50, 6
 #: Least similarity, as a fraction.
@@ -71,29 +75,31 @@ def keys(x: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def print_of(x: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of runs, signed: a bit is set if it is in over half of them."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(x), SHINGLES_AT_ONCE):
+        votes += np.unpackbits(x[at : at + SHINGLES_AT_ONCE].view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(x)).tobytes(), "big", signed=True)
+
+
 def _sketch(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
         x = runs(t)
         node = xxhash.xxh64_intdigest(x.tobytes(), 42) if len(x) else 0
-        rows.append((node - (node >> 63 << 64), len(x), keys(x)))
-    return pd.DataFrame(rows, columns=["node", "n", "keys"])
+        rows.append((node - (node >> 63 << 64), print_of(x), len(x), keys(x)))
+    return pd.DataFrame(rows, columns=["node", "fp", "n", "keys"])
 
 
-def _packed(texts: pd.Series) -> pd.Series:
-    return pd.Series([runs(t).tobytes() for t in texts], dtype=object)
+def _sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([runs(t).view(np.int64) for t in texts], dtype=object)
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
+def similar(x: Column, y: Column) -> Column:
     """Whether two sets of runs reach the bound, in whole numbers."""
-    both = np.sort(np.concatenate([x, y]), kind="stable")
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return common * LEAST[1] >= LEAST[0] * (len(both) - common)
-
-
-def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
-    of = lambda b: np.frombuffer(b, np.uint64)
-    return pd.Series([similar(of(a), of(b)) for a, b in zip(left, right, strict=True)], dtype=bool)
+    common = F.size(F.array_intersect(x, y))
+    return common * LEAST[1] >= LEAST[0] * (F.size(x) + F.size(y) - common)
 
 
 def _sizes(a: Column, b: Column) -> Column:
@@ -117,34 +123,54 @@ def _all_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:
     return both.select(F.col("x1").alias("u"), F.col("x2").alias("v"))
 
 
+def _by_fingerprint(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs that the covering hashes find: one node of each fingerprint with the others of it and with that of a near one."""
+    of_print = scratch.write(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("many")))
+    near = forest(of_print.select("fp"), scratch)
+    a, b = (of_print.select(F.col("fp").alias(x), F.col("least").alias(f"l{x}")) for x in "ab")
+    far = near.join(a, "a").join(b, "b").where(_sizes(F.col("la.n"), F.col("lb.n")))
+    shared = of_print.where("many > 1").select(F.col("fp").alias("f"), "least")
+    same = nodes.join(shared, F.col("fp") == F.col("f")).where((F.col("node") != F.col("least.node")) & _sizes(F.col("n"), F.col("least.n")))
+    return far.select(F.col("la.node").alias("u"), F.col("lb.node").alias("v")).unionByName(
+        same.select(F.col("least.node").alias("u"), F.col("node").alias("v"))
+    )
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     """Those of the written ``pairs`` (a, b) that reach the bound; texts of their nodes are read where they stand."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
-    marks = nodes.join(used, F.col("node") == F.col("u"), "left_semi").select(F.col("row").alias("__row"))
-    texts = marked(rows, "__row", scratch.write(row_marks(marks, "__row")), keep=True)
-    sets = texts.select(F.col("__sketch.node").alias("u"), F.pandas_udf(_packed, "binary")(F.col(f"`{text_col}`")).alias("set"))
+    marks = scratch.write(row_marks(nodes.join(used, F.col("node") == F.col("u"), "left_semi").select(F.col("row").alias("__row")), "__row"))
+    texts = marked(rows, "__row", marks, keep=True)
+    sets = texts.select(F.col("__sketch.node").alias("u"), F.pandas_udf(_sets, "array<long>")(F.col(f"`{text_col}`")).alias("set"))
     sets = scratch.write(sets)
-    with_b = pairs.join(sets.select(F.col("u").alias("b"), F.col("set").alias("right")), "b")
-    both = with_b.join(sets.select(F.col("u").alias("a"), F.col("set").alias("left")), "a")
-    out = scratch.write(both.where(F.pandas_udf(_similar, "boolean")("left", "right")).select("a", "b"))
+    with_b = hot_join(pairs, sets.select(F.col("u").alias("b"), F.col("set").alias("right")), "b", scratch)
+    both = hot_join(with_b, sets.select(F.col("u").alias("a"), F.col("set").alias("left")), "a", scratch, pairs)
+    out = scratch.write(both.where(similar(F.col("left"), F.col("right"))).select("a", "b"))
     scratch.drop(sets)
+    scratch.drop(marks)
     return out
 
 
 def classes(rows: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
     """(node, root) of each node with a link, over written ``rows`` with ``__row`` and ``__sketch``."""
-    first = F.min(F.struct(F.col("__row").alias("row"), F.col("__sketch.n").alias("n"), F.col("__sketch.keys").alias("keys")))
-    nodes = rows.groupBy(F.col("__sketch.node").alias("node")).agg(first.alias("f"))
-    nodes = scratch.write(nodes.select("node", "f.row", "f.n", "f.keys"))
+    first = rows.groupBy(F.col("__sketch.node").alias("node")).agg(F.min("__row").alias("__row"))
+    marks = scratch.write(row_marks(first, "__row"))
+    # One row of each node, found without a shuffle of keys.
+    nodes = marked(rows, "__row", marks, keep=True).select("__sketch.*", F.col("__row").alias("row"))
     each = nodes.select(F.explode("keys").alias("k"), F.col("node").alias("x"), "n")
-    shared = each.withColumn("lead", F.count("*").over(Window.partitionBy("k"))).where("lead > 1").drop("lead")
-    shared, nodes = scratch.write(shared), nodes.select("node", "row")
+    shared = each.withColumn("many", F.count("*").over(Window.partitionBy("k"))).where("many > 1").drop("many")
+    shared, nodes = scratch.write(shared), scratch.write(nodes.select("node", "row", "n", "fp"))
     seen = edges = stars = None
-    for step in range(3):
+    for step in range(4):
         members = shared.withColumn("c", F.col("x"))
         if stars is not None:
             members = shared.join(stars, F.col("x") == F.col("node"), "left").select("k", "x", "n", F.coalesce("root", "x").alias("c"))
-        found = _all_pairs(members, scratch) if step == 2 else _stars(members, (F.min, F.max)[step])
+        if step == 0:
+            found = _by_fingerprint(nodes, scratch)
+        elif step < 3:
+            found = _stars(members, (F.min, F.max)[step - 1])
+        else:
+            found = _all_pairs(members, scratch)
         pairs = found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -156,6 +182,7 @@ def classes(rows: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
         edges = new if edges is None else edges.unionByName(new)
         if stars is None or not new.isEmpty():
             stars = components(edges, scratch)
+    scratch.drop(shared)
     return stars if stars is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
 
@@ -167,7 +194,7 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     Columns pass unchanged.  Texts without a word are one class.
     """
     scratch = Scratch(docs.sparkSession, "resemblance")
-    sketch = F.pandas_udf(_sketch, "node long, n long, keys array<long>")
+    sketch = F.pandas_udf(_sketch, "node long, fp long, n long, keys array<long>")
     rows = without(docs, "__sketch", "__row").withColumn("__sketch", sketch(F.col(f"`{text_col}`")))
     rows = scratch.write(rows.withColumn("__row", F.monotonically_increasing_id()))
     found = classes(rows, scratch, text_col).select(F.col("node").alias("__n"), "root")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, marked, row_marks, without
+from .common import Scratch, hot_join, marked, row_marks, without
 from .components import components
 
 RADIUS, BITS = 3, 64
@@ -259,9 +259,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     narrow = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
     rows = scratch.write(with_fingerprint(narrow, "__text").drop("__text"))
     found = classes(rows, scratch, id_col)
-    return rows.join(found, F.col("__fp") == F.col("fp")).select(
-        id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = found.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__component"))
+    joined = hot_join(rows, named, "__fp", scratch)
+    return joined.select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
-import pytest
+from pyspark.sql import functions as F
 
-from spindrel.llm import resemblance, simhash
+from spindrel.llm import common, resemblance, simhash
+from spindrel.llm.exact_dedup import exact_dedup
 
 
 def five(text):
@@ -60,10 +61,39 @@ def test_stage_over_documents(spark, sf):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == plain([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("common,linked", [(80, True), (79, False)])
-def test_bound_is_exact(common, linked):
-    import numpy as np
+def test_bound_is_exact(spark):
+    rows = []
+    for common in (80, 79):
+        x = list(range(common + 10))
+        rows.append((x, x[:common] + list(range(500, 600 - len(x)))))
+    got = spark.createDataFrame([*rows, ([], []), ([-1], [-1])], "x array<long>, y array<long>").select(resemblance.similar(F.col("x"), F.col("y"))).collect()
+    assert [len(set(x) | set(y)) for x, y in rows] == [100, 100] and [r[0] for r in got] == [True, False, True, True]
 
-    x = np.arange(common + 10, dtype=np.uint64)
-    y = np.r_[x[:common], np.arange(500, 500 + 100 - len(x), dtype=np.uint64)]
-    assert len(np.union1d(x, y)) == 100 and resemblance.similar(np.unique(x), np.unique(y)) is linked
+
+def test_fingerprints_are_those_of_the_sets():
+    for text in (None, "a", "a b c d e f g", " ".join(f"w{i}" for i in range(3000))):
+        x = resemblance.runs(text)
+        want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in x) > len(x))
+        assert bin(resemblance.print_of(x) % (1 << 64)).count("1") == bin(want).count("1")
+
+
+def test_hot_keys_are_joined_where_they_stand(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    scratch = common.Scratch(spark, "t")
+    rows = scratch.write(spark.range(3000).selectExpr("id", "if(id % 3 = 0, -1, id % 500) as k"))
+    values = scratch.write(spark.range(-1, 400).selectExpr("id as k", "id * 2 as v"))
+    got = {(r["id"], r["v"]) for r in common.hot_join(rows, values, "k", scratch).collect()}
+    assert got == {(i, 2 * k) for i in range(3000) if (k := -1 if i % 3 == 0 else i % 500) < 400}
+    monkeypatch.setattr(common, "HOT_ROWS", 5000)
+    assert common.hot_join(rows, values, "k", scratch).count() == len(got)
+
+
+def test_hot_groups_end_alike(spark, sf, monkeypatch):
+    rows = made()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert sorted(r[0] for r in resemblance.near_dedup(docs).collect()) == plain(rows)
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs).collect()} == {i: f"{f:016x}" for (i, _), f in zip(rows, fps, strict=True)}
+    kept = exact_dedup(docs).where("kept").collect()
+    assert len(kept) == len({"".join((t or "").split()) for _, t in rows})
