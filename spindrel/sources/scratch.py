@@ -9,6 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrel-")
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a temporary one on this machine; a cluster must name it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spindrel-")
     return f"{base.rstrip('/')}/spindrel/{name}-{uuid.uuid4().hex}"
