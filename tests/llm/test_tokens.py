@@ -82,6 +82,8 @@ def test_edits_equal_counting_again(data):
     text = "".join(data.draw(st.lists(st.sampled_from(PIECES), max_size=200)))
     doc = token_counts.Document(text, model)
     for _ in range(data.draw(st.integers(1, 5))):
+        if data.draw(st.booleans()):  # through the column and back
+            doc = token_counts.Document(text, model, token_counts.pack(doc.root))
         start, length = data.draw(st.integers(0, len(text) + 2)), data.draw(st.integers(0, 20))
         new = "".join(data.draw(st.lists(st.sampled_from(PIECES), max_size=6)))
         a = min(start, len(text))
@@ -92,10 +94,34 @@ def test_edits_equal_counting_again(data):
         assert doc.tokens == len(model.model.encode_ordinary(text))
 
 
-def test_edit_of_a_long_text_touches_little():
+def test_edits_of_a_long_text_touch_little():
     doc = token_counts.Document("some words here " * 20_000, token_counts.counter(COUNTS))
     doc.edit(100_000, 5, "other")
     assert doc.encoded < 40 and doc.tokens == len(doc.model.model.encode_ordinary(doc.text))
+    packed, text = token_counts.pack(doc.root), doc.text
+    again = token_counts.Document(text, doc.model, packed)
+    again.edit(200_000, 3, " odd " * 300)
+    again.edit(7, 0, "x")
+    assert 300 < again.encoded < 700 and again.tokens == len(doc.model.model.encode_ordinary(again.text))
+    opened = sum(not x.packed for x in token_counts.leaves(again.root))
+    assert opened < 60 < 1000 < sum(1 for _ in token_counts.leaves(again.root))  # the others were never unpacked
+    assert token_counts.pack(token_counts.unpack(packed, text)) == packed
+
+
+def test_a_second_batch_uses_the_kept_trees(spark):
+    rows = [(1, "one two three " * 500, [(6, 3, "2")], [(0, 3, "1"), (100, 0, "x@y.org")]), (2, None, None, [(0, 0, "new")]), (3, "", [], None), (4, "keep me", [None], [(None, None, None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first array<struct<start:long,length:long,text:string>>, second array<struct<start:long,length:long,text:string>>")
+    once = token_counts.apply_edits(token_counts.plant(docs, COUNTS), F.col("first"), COUNTS)
+    kept = once.select("doc_id", F.col("text_after").alias("text"), "tree", "second")
+    twice = token_counts.apply_edits(kept, F.col("second"), COUNTS)
+    model = token_counts.counter(COUNTS)
+    for r in twice.collect():
+        doc = token_counts.Document(r["text_after"], model)
+        assert r["n_tokens_after"] == len(model.model.encode_ordinary(r["text_after"])) == token_counts.unpack(bytes(r["tree"]), r["text_after"]).tokens
+        assert token_counts.lengths(token_counts.unpack(bytes(r["tree"]), r["text_after"]), 0, 1 << 40) == list(map(len, model.pieces(r["text_after"])))
+        assert r["n_encoded_again"] < 40 and doc.tokens == r["n_tokens_after"]
+    with pytest.raises(Exception, match="tree is not that of the text"):
+        token_counts.apply_edits(kept.withColumn("text", F.lit("other")), F.col("second"), COUNTS).collect()
 
 
 def test_counts_of_odd_rows(spark):
