@@ -86,18 +86,46 @@ def test_neighbours_with_copies_and_odd_rows(spark):
     assert [tuple(r) for r in ann.search(one).collect()] == [(0, 1, 3, 1.0)]
 
 
-def test_recall(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(3000, 32))
+def made(kind, n, dim, rng):
+    x = rng.normal(size=(n, dim))
+    if kind == "clusters":
+        x = 3 * rng.normal(size=(40, dim))[rng.integers(0, 40, n)] + 0.3 * x
+    if kind == "norms":
+        x = x * np.exp(rng.normal(size=(n, 1)))
+    if kind == "outlier":
+        x[7] *= 1000
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["even", "clusters", "norms", "outlier"])
+def test_recall(spark, kind, monkeypatch):
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 2000)
+    x = made(kind, 4000, 32, np.random.default_rng(4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     found = ann.search(df).toPandas()
-    x = x.astype(np.float32).astype(float)
+    x = x.astype(float)
     hits = 0
     for q, g in found.groupby("query_id"):
         s = x @ x[q]
         s[q] = -np.inf
         hits += len(set(np.argsort(-s)[:20]) & set(g["vec_id"]))
-    assert len(found) == 150 * 20 and hits / len(found) >= 0.9
+    assert len(found) == 200 * 20 and hits / len(found) >= 0.9
+
+
+def test_a_hot_vector_is_one_question(spark, monkeypatch):
+    from spindrel.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(6)
+    hot = rng.integers(-3, 4, 6).astype(float).tolist()
+    rows = [(i, hot if i % 3 == 0 else rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(1, 1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, rerank=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute([r for r in rows if any(r[1])])
 
 
 def test_beam_is_no_worse_than_greedy():
