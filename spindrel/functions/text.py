@@ -20,6 +20,8 @@ COMMON = (
 )
 WORD = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*"
 TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:[-'][\p{L}\p{M}\p{N}_]+)*|[^ \t\n\f\r\p{L}\p{M}\p{N}_]"
+#: References and what they stand for, in the order of escaping; runs of capitalised words.
+ESCAPED = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 CAPITALS = r"[A-Z]+[a-z]*(?:[ '-][A-Z]+[a-z]*)*"
 PADDING = "NONE"
 
@@ -98,6 +100,14 @@ def mention_label(m: str = "") -> Column:
     return F.concat_ws("|", *[F.col(m + c) for c in ("previous_word2", "previous_word", "text", "next_word", "next_word2")])
 
 
+def mention_html(*cols: str) -> Column:
+    """Columns as an HTML table of one row with headings; values are escaped, nulls are empty."""
+    shown = lambda c: reduce(lambda x, e: F.replace(x, F.lit(e[1]), F.lit(e[0])), ESCAPED, F.coalesce(F.col(c).cast("string"), F.lit("")))
+    heads = "".join(f"<th>{c}</th>" for c in cols)
+    cells = [F.concat(F.lit("<td>"), shown(c), F.lit("</td>")) for c in cols]
+    return F.concat(F.lit(f"<table><tr>{heads}</tr><tr>"), *cells, F.lit("</tr></table>"))
+
+
 def as_json(*cols: str) -> Column:
     """The text and its features as sorted JSON."""
     return F.concat(F.col("text"), F.lit(" "), F.to_json(F.struct(*sorted(cols))))

@@ -16,9 +16,8 @@ def token_freqs(tokens: DataFrame, token: str = "token", normalize: bool = True)
 
 def story_token_frequencies(sentences: DataFrame) -> DataFrame:
     """(token, freq) over all tokens of ``sentences`` (with ``tokens``), and one start and end for each sentence."""
-    marks = sentences.agg(F.count("*").alias("freq")).select(F.explode(F.array(F.lit("SENTENCE_START"), F.lit("SENTENCE_END"))).alias("token"), "freq")
-    words = sentences.select(F.explode("tokens").alias("token"))
-    return token_freqs(words, normalize=False).unionByName(marks).groupBy("token").agg(F.sum("freq").alias("freq"))
+    marks = F.array(F.lit("SENTENCE_START"), F.lit("SENTENCE_END"))
+    return token_freqs(sentences.select(F.explode(F.concat("tokens", marks)).alias("token")), normalize=False)
 
 
 def unique_mentions_per_word(mentions: DataFrame, field: str) -> DataFrame:
@@ -62,6 +61,23 @@ def f1_score(predicted: Column, true: Column) -> Column:
     return F.when(hits > 0, 2 * hits / total).otherwise(F.lit(0.0))
 
 
+def corpus_f1(predicted: DataFrame, true: DataFrame, key: str = "story_id", item: str = "coid") -> DataFrame:
+    """One row (n_predicted, n_true, n_both, precision, recall, f1) over all distinct (key, item) of both; no item at all gives 0."""
+    p = predicted.select(key, item).distinct().withColumn("__p", F.lit(1))
+    both = p.join(true.select(key, item).distinct().withColumn("__t", F.lit(1)), [key, item], "full")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = both.agg(n("__p").alias("n_predicted"), n("__t").alias("n_true"), n(F.col("__p") * F.col("__t")).alias("n_both"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    hits = F.col("n_both")
+    return sums.withColumns(
+        {
+            "precision": share(hits, F.col("n_predicted")),
+            "recall": share(hits, F.col("n_true")),
+            "f1": share(2 * hits, F.col("n_predicted") + F.col("n_true")),
+        }
+    )
+
+
 def normalize_scores(scores: Column, weight: float = 1.0) -> Column:
     """A map of scores over its largest, times ``weight``; empty if that can't be formed."""
     top = F.array_max(F.map_values(scores))

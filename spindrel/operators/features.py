@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -23,6 +23,7 @@ def _near(a: str, b: str) -> Column:
     return F.concat(F.col(a), F.col(b))
 
 
+#: The words and patterns that flags look for.
 MENTION: Registry = {
     "mention_is_ticker": lambda: F.col("__ticker"),
     "mention_is_one_word": lambda: F.col("token_cnt") == 1,
@@ -41,6 +42,7 @@ MENTION: Registry = {
     "mention_is_token_match": lambda: F.col("__tokens"),
 }
 
+#: The words and patterns of document features.
 DOCUMENT: Registry = {
     "doc_character_length": lambda: F.length("text"),
     "doc_number_count": lambda: F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+[.|,][0-9]+"), F.lit(0))),
@@ -102,8 +104,6 @@ def text_countries(texts: DataFrame, gazetteer: DataFrame, key: str = "story_id"
     found = counts.join(of("name"), F.col("p") == F.col("name_key"), "left").join(of("city"), F.col("p") == F.col("city_key"), "left")
     coded = found.select(key, F.coalesce("name_code", "city_code").alias("code"), "n").where("code is not null")
     sums = coded.groupBy(key, "code").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
     return sums.select(key, "code", (F.col("n") / F.sum("n").over(Window.partitionBy(key))).alias("share"))
 
 
@@ -179,6 +179,42 @@ def optional_candidate_features(rows: DataFrame, kb: KnowledgeBase) -> DataFrame
     ).drop("__f", "__i", "__yes")
 
 
+#: The words that TF-IDF counts.
+TERM = r"[\p{L}\p{M}\p{N}_]{2,}"
+
+
+def _weights(texts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(key, term, w): TF-IDF weights of each of the distinct ``texts`` over their length as a vector."""
+    terms = texts.select(key, F.explode(F.regexp_extract_all(F.lower(key), F.lit(TERM), F.lit(0))).alias("term"))
+    counts = terms.groupBy(key, "term").agg(F.count("*").alias("tf")).join(idf, "term")
+    raw = counts.withColumn("v", F.col("tf") * F.col("idf"))
+    return raw.select(key, "term", (F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))).alias("w"))
+
+
+def tfidf_features(rows: DataFrame, kb: KnowledgeBase) -> DataFrame:
+    """Mention-candidates with mc_tfidf and mc_tfidf_share, which are not part of the default set.
+
+    mc_tfidf: cosine of the TF-IDF weights of text and company name, with
+    ln((1 + n) / (1 + df)) + 1 over all company names; words that no name has
+    count for nothing.  mc_tfidf_share: that over its sum for the text in the
+    story, 0 if the sum is.  Weights are found once for each distinct text and
+    name, and only pairs that occur are compared.
+    """
+    names = kb.company.select("name")
+    terms = names.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(TERM), F.lit(0)))).alias("term"))
+    n = names.agg(F.count("*")).scalar()
+    idf = terms.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    pairs = rows.select("text", "candidate_name").distinct()
+    left = _weights(pairs.select("text").distinct(), idf, "text")
+    right = _weights(pairs.select("candidate_name").distinct(), idf, "candidate_name").withColumnRenamed("w", "w2")
+    dots = pairs.join(left, "text").join(right, ["candidate_name", "term"])
+    dots = dots.groupBy("text", "candidate_name").agg(F.sum(F.col("w") * F.col("w2")).alias("mc_tfidf"))
+    joined = rows.join(dots, ["text", "candidate_name"], "left").withColumn("mc_tfidf", F.coalesce("mc_tfidf", F.lit(0.0)))
+    total = F.sum("mc_tfidf").over(Window.partitionBy("story_id", "text"))
+    share = F.when(total != 0, F.col("mc_tfidf") / total).otherwise(F.lit(0.0))
+    return joined.select(*rows.columns, "mc_tfidf", share.alias("mc_tfidf_share"))
+
+
 def tag_frequencies(story_tags: DataFrame, stories: DataFrame, first: int | None = 100, order: str = "story_id") -> DataFrame:
     """(candidate, tagged_cnt) over the ``first`` stories in order; None: over all."""
     kept = story_tags

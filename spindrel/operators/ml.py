@@ -14,6 +14,8 @@ from .aggregates import class_weights, one_hot
 from .candidates import relevance
 
 log = logging.getLogger(__name__)
+#: What a stage learns, and is no setting.
+LEARNED = ("fitted",)
 #: Numbers that say nothing about the class.
 KEYS = ("candidate", "story_id")
 
@@ -30,6 +32,10 @@ class Stage:
     def fit_transform(self, rows: DataFrame) -> DataFrame:
         return self.fit(rows).transform(rows)
 
+    def get_params(self) -> dict[str, Any]:
+        """The settings that the stage was made with."""
+        return {k: v for k, v in vars(self).items() if k not in LEARNED}
+
 
 @dataclass
 class Apply(Stage):

@@ -26,6 +26,7 @@ WORD, PHRASE = "[A-Z][a-z]{4,}", "[A-Z][a-z]{4,} [a-z]{2,} [a-z]{2,}"
 DISCLAIMERS = ["All rights", "Licensed", "This work"]
 
 _stored: dict[tuple[str, str, bool], str] = {}
+_written: dict[tuple[str, str, str], str] = {}
 _words: dict[tuple[str, str], tuple[list[str], list[str]]] = {}
 
 
@@ -121,8 +122,18 @@ class Demo:
     def plain_kb(self) -> KnowledgeBase:
         return self._kb(plain=True)
 
-    def mentions(self, kb: KnowledgeBase | None = None) -> DataFrame:
-        return extract_mentions(self.stories, kb or self.kb, DISCLAIMERS, self.blacklist)
+    def _once(self, name: str, make) -> DataFrame:
+        """A table that many plans read, written once for each session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _written:
+            path = folder(self.spark, name)
+            make().write.parquet(path)
+            _written[key] = path
+        return self.spark.read.parquet(_written[key])
+
+    def mentions(self, plain: bool = False) -> DataFrame:
+        kb = self.plain_kb if plain else self.kb
+        return self._once(f"mentions-{plain}", lambda: extract_mentions(self.stories, kb, DISCLAIMERS, self.blacklist))
 
     def candidates(self) -> DataFrame:
-        return generate_candidates(self.mentions(), self.kb)
+        return self._once("candidates", lambda: generate_candidates(self.mentions(), self.kb))

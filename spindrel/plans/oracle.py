@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from ..functions.text import CAPITALS, COMMON, ENTITIES, TOKEN, WORD
+from ..operators.features import TERM
 from ..operators.mentions import LEADING
 from . import demo
 
@@ -180,6 +181,20 @@ _SCORED = f"""(
     SELECT text, avg(coalesce(k.freq, 0) / coalesce(d.freq, 1)) AS score
     FROM (SELECT text, unnest({_NORM("text")}) AS token FROM texts) w
     LEFT JOIN token_freq k USING (token) LEFT JOIN story_freq d USING (token) GROUP BY text)"""
+_plain = lambda x: f"coalesce(nullif(trim(regexp_replace({x}, '[^A-Za-z0-9,. ]', '', 'g')), ''), 'None')"
+_shown = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _vector(texts: str) -> str:
+    terms = lambda x: _all(f"lower({x})", TERM)
+    return f"""(
+        SELECT x, term, v / sqrt(sum(v * v) OVER (PARTITION BY x)) AS w FROM (
+            SELECT x, term, count(*) * any_value(idf) AS v FROM (SELECT x, unnest({terms("x")}) AS term FROM ({texts}))
+            JOIN (SELECT term, ln((1 + (SELECT count(*) FROM company)) / (1 + count(*))) + 1 AS idf
+                  FROM (SELECT unnest(list_distinct({terms("name")})) AS term FROM company) GROUP BY term) USING (term)
+            GROUP BY x, term))"""
+
+
 _NEXT, _PREV = "next_word || next_word2", "previous_word || previous_word2"
 _NUMBERS = "regexp_extract_all(body, '[0-9]+[.|,][0-9]+')"
 
@@ -249,6 +264,23 @@ FINAL = {
                CASE WHEN starts_with(headline, 'DJ') AND NOT contains(body, 'Form 4') AND NOT contains(headline, '8-K') THEN 0 ELSE 1 END::BIGINT AS "doc_DJ_headline",
                source AS doc_source
         FROM stories""",
+    "mention_doc_features": f"""
+        SELECT story_id, par_idx, sent_idx, tok_idx, len({_all("lower(headline || body)", WORD)}) AS doc_token_cnt, length(body) AS doc_character_length,
+               len({_NUMBERS}) AS doc_number_count,
+               round(len({_NUMBERS}) / nullif(len({_all("lower(headline || body)", WORD)}), 0), 9) AS doc_number_ratio,
+               contains(body, 'Form 4') AS doc_contains_form4,
+               CASE WHEN starts_with(headline, 'DJ') AND NOT contains(body, 'Form 4') AND NOT contains(headline, '8-K') THEN 0 ELSE 1 END::BIGINT AS "doc_DJ_headline",
+               source AS doc_source, coalesce(c, '') AS doc_countries
+        FROM ments JOIN stories USING (story_id) LEFT JOIN (
+            SELECT story_id, string_agg(code || ':' || round(share * 1e9)::BIGINT, ' ' ORDER BY code) AS c FROM country GROUP BY story_id) USING (story_id)""",
+    "mention_json": """
+        SELECT story_id, par_idx, sent_idx, tok_idx, text || ' {"mention_character_length":' || length(text)
+               || ',"mention_is_one_word":' || (token_cnt = 1) || ',"token_cnt":' || token_cnt || '}' AS shown FROM ments""",
+    "mention_html": f"""
+        SELECT story_id, par_idx, sent_idx, tok_idx,
+               '<table><tr><th>text</th><th>previous_word</th><th>next_word</th><th>token_cnt</th></tr><tr><td>'
+               || {_shown("text")} || '</td><td>' || {_shown("previous_word")} || '</td><td>' || {_shown("next_word")} || '</td><td>' || token_cnt
+               || '</td></tr></table>' AS shown FROM ments""",
     "doc_countries": "SELECT story_id, code, round(share, 9) AS share FROM country",
     "mc_features": f"""
         SELECT {_KEYS}, round(CASE WHEN domicile IS NULL THEN NULL ELSE coalesce(share, 0) END, 9) AS mc_country,
@@ -257,6 +289,22 @@ FINAL = {
                round(n / max(n) OVER (PARTITION BY story_id), 9) AS mc_count
         FROM (SELECT *, count(*) OVER (PARTITION BY story_id, candidate) AS n FROM cands)
         LEFT JOIN gazetteer g ON g.kind = 'name' AND g.key = lower(domicile) LEFT JOIN country USING (story_id, code)""",
+    "mc_features_only": f"""
+        SELECT story_id, text, candidate, round(CASE WHEN domicile IS NULL THEN NULL ELSE coalesce(share, 0) END, 9) AS mc_country,
+               round(jaro_similarity(lower(text), lower(candidate_name)), 9) AS mc_jaro_distance,
+               lower(text) = lower(candidate_name) AS mc_is_exact_match, jaro_winkler_similarity(text, stripped) > 0.95 AS mc_is_close_match,
+               round(n / max(n) OVER (PARTITION BY story_id), 9) AS mc_count
+        FROM (SELECT *, count(*) OVER (PARTITION BY story_id, candidate) AS n FROM cands)
+        LEFT JOIN gazetteer g ON g.kind = 'name' AND g.key = lower(domicile) LEFT JOIN country USING (story_id, code)""",
+    "mc_tfidf": f"""
+        SELECT {_KEYS}, round(w, 9) AS mc_tfidf, round(CASE WHEN s <> 0 THEN w / s ELSE 0 END, 9) AS mc_tfidf_share
+        FROM (SELECT *, sum(w) OVER (PARTITION BY story_id, text) AS s FROM (
+            SELECT c.*, coalesce(d.w, 0) AS w FROM cands c LEFT JOIN (
+                SELECT p.text, p.candidate_name, sum(a.w * b.w) AS w
+                FROM (SELECT DISTINCT text, candidate_name FROM cands) p
+                JOIN {_vector("SELECT text AS x FROM texts")} a ON a.x = p.text
+                JOIN {_vector("SELECT DISTINCT name AS x FROM company")} b ON b.x = p.candidate_name AND a.term = b.term
+                GROUP BY 1, 2) d ON d.text = c.text AND d.candidate_name = c.candidate_name))""",
     "mc_optional_features": f"""
         SELECT {_KEYS}, round(len(list_intersect({_NORM("text")}, {_NORM("candidate_name")})) / nullif(len(list_distinct({_NORM("candidate_name")})), 0), 9) AS mc_common_tokens,
                round(jaro_winkler_similarity(text, candidate_name), 9) AS mc_jaro_winkler, levenshtein(text, candidate_name) AS mc_levenshtein_distance,
@@ -277,10 +325,32 @@ FINAL = {
     + " FROM cands",
     "f1_by_story": """
         SELECT story_id, round(CASE WHEN len(list_intersect(p, t)) > 0 THEN 2 * len(list_intersect(p, t)) / (len(p) + len(t)) ELSE 0 END, 9) AS f1
-        FROM (SELECT story_id, list(DISTINCT candidate) AS p FROM cands GROUP BY 1) JOIN (SELECT story_id, list(DISTINCT coid) AS t FROM story_tags GROUP BY 1) USING (story_id)""",
+        FROM (SELECT story_id, coalesce(p, []) AS p, coalesce(t, []) AS t
+              FROM (SELECT story_id, list(DISTINCT candidate) AS p FROM cands GROUP BY 1)
+              FULL JOIN (SELECT story_id, list(DISTINCT coid) AS t FROM story_tags GROUP BY 1) USING (story_id))""",
+    "f1_of_corpus": """
+        SELECT n_predicted, n_true, n_both, round(n_both / n_predicted, 9) AS precision, round(n_both / n_true, 9) AS recall,
+               round(2 * n_both / (n_predicted + n_true), 9) AS f1
+        FROM (SELECT count(p.coid) AS n_predicted, count(t.coid) AS n_true, count(CASE WHEN p.coid IS NOT NULL AND t.coid IS NOT NULL THEN 1 END) AS n_both
+              FROM (SELECT DISTINCT story_id, candidate AS coid FROM cands) p
+              FULL JOIN (SELECT DISTINCT story_id, coid FROM story_tags) t ON p.story_id = t.story_id AND p.coid = t.coid)""",
     "normalized_scores": """
         SELECT story_id, candidate, round(w / max(w) OVER (PARTITION BY story_id), 9) AS score
         FROM (SELECT story_id, candidate, sum(candidate_weight) AS w FROM cands GROUP BY 1, 2)""",
+    "train_data": """
+        SELECT story_id, par_idx, sent_idx, tok_idx, text, EXISTS (
+            SELECT 1 FROM casc c JOIN story_tags t ON t.coid = c.coid WHERE c.text = m.text AND t.story_id = m.story_id) AS y
+        FROM ments m""",
+    "stories_xml": f"""
+        SELECT story_id, '2012-01-02' AS date, {_plain("headline")} AS headline, {_plain("body")} AS text, source, coalesce(tags, '') AS tags
+        FROM stories LEFT JOIN (
+            SELECT story_id, array_to_string(list_transform(list_sort(list(DISTINCT (coid, relevance))), lambda x: x[1] || ':' || x[2]), ' ') AS tags
+            FROM story_tags GROUP BY story_id) USING (story_id)""",
+    "companies_xml": "SELECT id, name, domicile FROM company",
+    "list_lines": "SELECT name AS line FROM company",
+    "surface_forms_json": "SELECT id, form FROM surface_forms",
+    "tickers_parquet": "SELECT id, ticker FROM ticker_list",
+    "gazetteer_parquet": "SELECT kind, key, code FROM gazetteer",
     "xml_roundtrip": "SELECT t.story_id, t.coid, name AS company, 'H' AS relevance FROM story_tags t JOIN company ON id = t.coid",
 }
 

@@ -177,7 +177,7 @@ def kb_ltoken_coid(d: Demo) -> DataFrame:
 
 @query
 def mentions(d: Demo) -> DataFrame:
-    return d.mentions()
+    return M.extract_mentions(d.stories, d.kb, DISCLAIMERS, d.blacklist)
 
 
 @query
@@ -201,7 +201,7 @@ def unique_mentions_per_word(d: Demo) -> DataFrame:
 def _route(name: str, plain: bool = False):
     def run(d: Demo) -> DataFrame:
         kb = d.plain_kb if plain else d.kb
-        return C.routes(d.mentions(kb).select("text").distinct(), kb)[name]
+        return C.routes(d.mentions(plain).select("text").distinct(), kb)[name]
 
     run.__name__ = f"candidates_{name}"
     query(run)
@@ -219,7 +219,7 @@ def candidates_cascade(d: Demo) -> DataFrame:
 
 @query
 def candidates_all(d: Demo) -> DataFrame:
-    found = d.candidates()
+    found = C.generate_candidates(d.mentions(), d.kb)
     return found.select("story_id", "par_idx", "sent_idx", "tok_idx", "text", "candidate", "candidate_weight", "candidate_name")
 
 
@@ -243,9 +243,36 @@ def is_tagged_mention(d: Demo) -> DataFrame:
     return C.tagged_mentions(d.mentions(), d.kb, d.story_tags).select("story_id", "par_idx", "sent_idx", "tok_idx", "text", "is_tagged")
 
 
+@query
+def train_data(d: Demo) -> DataFrame:
+    found = C.train_data(d.stories, d.kb, d.story_tags, disclaimers=DISCLAIMERS, blacklist=d.blacklist)
+    return found.select("story_id", "par_idx", "sent_idx", "tok_idx", "text", "y")
+
+
 # Features
 
 
+@query
+def mention_doc_features(d: Demo) -> DataFrame:
+    found = P.add_document_features(d.mentions(), d.stories, d.gazetteer)
+    shares = F.transform(F.array_sort(F.map_entries("doc_countries")), lambda x: F.concat(x["key"], F.lit(":"), F.round(x["value"] * 1e9).cast("long")))
+    names = ("doc_token_cnt", *P.DOCUMENT)
+    return found.select("story_id", "par_idx", "sent_idx", "tok_idx", *names, shares.alias("doc_countries"))
+
+
+@query
+def mention_json(d: Demo) -> DataFrame:
+    found = d.mentions().select("*", F.length("text").alias("mention_character_length"), (F.col("token_cnt") == 1).alias("mention_is_one_word"))
+    shown = X.as_json("token_cnt", "mention_character_length", "mention_is_one_word")
+    return found.select("story_id", "par_idx", "sent_idx", "tok_idx", shown.alias("shown"))
+
+
+@query
+def mention_html(d: Demo) -> DataFrame:
+    shown = X.mention_html("text", "previous_word", "next_word", "token_cnt")
+    return d.mentions().select("story_id", "par_idx", "sent_idx", "tok_idx", shown.alias("shown"))
+
+
 @query
 def mention_features(d: Demo) -> DataFrame:
     return P.mention_features(d.mentions(), d.kb, d.stories)
@@ -275,6 +302,18 @@ def mc_features(d: Demo) -> DataFrame:
     return _features(d).select(*KEYS, "mc_country", "mc_jaro_distance", "mc_is_exact_match", "mc_is_close_match", "mc_count")
 
 
+@query
+def mc_features_only(d: Demo) -> DataFrame:
+    found = d.candidates()
+    used = d.stories.join(found.select("story_id").distinct(), "story_id", "left_semi")
+    return P.candidate_features(found, d.kb, d.gazetteer, P.document_countries(used, d.gazetteer), append=False)
+
+
+@query
+def mc_tfidf(d: Demo) -> DataFrame:
+    return P.tfidf_features(d.candidates(), d.kb).select(*KEYS, "mc_tfidf", "mc_tfidf_share")
+
+
 @query
 def mc_optional_features(d: Demo) -> DataFrame:
     found = P.optional_candidate_features(d.candidates(), d.kb)
@@ -322,10 +361,16 @@ def model_predictions(d: Demo) -> DataFrame:
 def f1_by_story(d: Demo) -> DataFrame:
     predicted = d.candidates().groupBy("story_id").agg(F.collect_set("candidate").alias("p"))
     true = d.story_tags.groupBy("story_id").agg(F.collect_set("coid").alias("t"))
-    both = predicted.join(true, "story_id")
+    none = F.array().cast("array<long>")
+    both = predicted.join(true, "story_id", "full").select("story_id", F.coalesce("p", none).alias("p"), F.coalesce("t", none).alias("t"))
     return both.select("story_id", G.f1_score(F.col("p"), F.col("t")).alias("f1"))
 
 
+@query
+def f1_of_corpus(d: Demo) -> DataFrame:
+    return G.corpus_f1(d.candidates().withColumnRenamed("candidate", "coid"), d.story_tags)
+
+
 @query
 def normalized_scores(d: Demo) -> DataFrame:
     sums = d.candidates().groupBy("story_id", "candidate").agg(F.sum("candidate_weight").alias("w"))
@@ -340,3 +385,69 @@ def xml_roundtrip(d: Demo) -> DataFrame:
     path = folder(d.spark, "tags-xml")
     write_tags(d.story_tags, d.companies, path)
     return read_tags(d.spark, path)
+
+
+# Sources: what is written is read again
+
+
+def _letters(c: str):
+    return F.trim(F.regexp_replace(c, "[^A-Za-z0-9,. ]", ""))
+
+
+@query
+def stories_xml(d: Demo) -> DataFrame:
+    from ..sources.xml import read_stories, write_stories
+
+    tags = d.story_tags.groupBy("story_id").agg(F.map_from_entries(F.collect_list(F.struct("coid", "relevance"))).alias("tags"))
+    rows = d.stories.select("story_id", F.lit("2012-01-02").cast("date").alias("date"), _letters("headline").alias("headline"), _letters("text").alias("text"), "source")
+    path = folder(d.spark, "stories-xml")
+    write_stories(rows.join(tags, "story_id", "left"), path)
+    pairs = F.transform(F.array_sort(F.map_entries("tags")), lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"]))
+    return read_stories(d.spark, path).select("story_id", F.col("date").cast("string").alias("date"), "headline", "text", "source", pairs.alias("tags"))
+
+
+@query
+def companies_xml(d: Demo) -> DataFrame:
+    from ..sources.xml import read_companies, write_companies
+
+    path = folder(d.spark, "companies-xml")
+    write_companies(d.companies, path)
+    return read_companies(d.spark, path).select("id", "name", "domicile")
+
+
+@query
+def list_lines(d: Demo) -> DataFrame:
+    from ..sources.tables import read_list
+
+    path = folder(d.spark, "list")
+    lines = F.explode(F.array(F.lit("# comment"), F.lit(" "), F.col("name")))
+    d.companies.select(lines.alias("value")).write.text(path)
+    return read_list(d.spark, path, "line")
+
+
+def _index(d: Demo, rows: DataFrame, value: str, end: str) -> DataFrame:
+    from ..sources.tables import read_index
+
+    path = folder(d.spark, value) + end
+    lists = rows.groupBy("id").agg(F.collect_list(value).alias(f"{value}s"))
+    lists.write.json(path) if end else lists.write.parquet(path)
+    return read_index(d.spark, path, value)
+
+
+@query
+def surface_forms_json(d: Demo) -> DataFrame:
+    return _index(d, d.surface_forms, "form", ".json")
+
+
+@query
+def tickers_parquet(d: Demo) -> DataFrame:
+    return _index(d, d.tickers, "ticker", "")
+
+
+@query
+def gazetteer_parquet(d: Demo) -> DataFrame:
+    from ..sources.tables import read_gazetteer
+
+    path = folder(d.spark, "gazetteer")
+    d.gazetteer.withColumn("key", F.upper("key")).write.parquet(path)
+    return read_gazetteer(d.spark, path)

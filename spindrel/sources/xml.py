@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fix_text
+from ..functions.arrow import repair_text
 
 STORY_SCHEMA = (
     "_StoryId long, _Date string, Headline string, Story_text string, Source string, "
@@ -17,7 +17,7 @@ COMPANY_SCHEMA = "OrgID long, Full_Name string, Domicile string"
 def read_stories(spark: SparkSession, path: str, row_tag: str = "Story_Identifier", empty: str = "None") -> DataFrame:
     """(story_id, date, headline, text, source, tags map); empty elements become ``empty``, a missing tag list an empty map."""
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(STORY_SCHEMA).load(path)
-    text = lambda c: fix_text(F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(empty)))
+    text = lambda c: repair_text(F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(empty)))
     pairs = F.transform("Editor_Tags.Tag", lambda t: F.struct(t["_OrgID"].alias("key"), t["_Relevance"].alias("value")))
     tags = F.map_from_entries(F.coalesce(pairs, F.from_json(F.lit("[]"), "array<struct<key:bigint,value:string>>")))
     return raw.select(
@@ -30,7 +30,7 @@ def read_companies(spark: SparkSession, path: str, row_tag: str = "Company") ->
     """(id, name, domicile, ord); ``ord`` follows the order in the file."""
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(COMPANY_SCHEMA).load(path)
     return raw.select(
-        F.col("OrgID").alias("id"), fix_text(F.col("Full_Name")).alias("name"), fix_text(F.col("Domicile")).alias("domicile"),
+        F.col("OrgID").alias("id"), repair_text(F.col("Full_Name")).alias("name"), repair_text(F.col("Domicile")).alias("domicile"),
         F.monotonically_increasing_id().alias("ord"),
     )
 
@@ -40,6 +40,22 @@ def story_tags(stories: DataFrame) -> DataFrame:
     return stories.select("story_id", F.explode("tags").alias("coid", "relevance"))
 
 
+def write_stories(stories: DataFrame, path: str, row_tag: str = "Story_Identifier", root: str = "Stories") -> None:
+    """``stories`` (story_id, date, headline, text, source, tags map) as ``read_stories`` reads them."""
+    tag = F.transform(F.map_entries("tags"), lambda t: F.struct(t["key"].alias("_OrgID"), t["value"].alias("_Relevance")))
+    rows = stories.select(
+        F.col("story_id").alias("_StoryId"), F.date_format("date", "d MMM yyyy").alias("_Date"), F.col("headline").alias("Headline"),
+        F.col("text").alias("Story_text"), F.col("source").alias("Source"), F.struct(tag.alias("Tag")).alias("Editor_Tags"),
+    )
+    rows.write.format("xml").option("rootTag", root).option("rowTag", row_tag).mode("overwrite").save(path)
+
+
+def write_companies(companies: DataFrame, path: str, row_tag: str = "Company", root: str = "Companies") -> None:
+    """``companies`` (id, name, domicile) as ``read_companies`` reads them."""
+    rows = companies.select(F.col("id").alias("OrgID"), F.col("name").alias("Full_Name"), F.col("domicile").alias("Domicile"))
+    rows.write.format("xml").option("rootTag", root).option("rowTag", row_tag).mode("overwrite").save(path)
+
+
 def write_tags(tags: DataFrame, names: DataFrame, path: str, relevance: str = "H", root: str = "Stories") -> None:
     """Story/Tags/Tag elements of ``tags`` (story_id, coid); a tag without a company in ``names`` (id, name) is an error.
 

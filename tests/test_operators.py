@@ -1,6 +1,14 @@
+import html
+import random
+import unicodedata
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrel.functions import arrow as A
+
 from spindrel.functions import text as X
 from spindrel.operators import aggregates as G
 from spindrel.operators import candidates as C
@@ -66,6 +74,27 @@ def test_token_route(spark):
     assert [tuple(r) for r in C.token_route(texts, index).collect()] == [("token1 & (token2)", 1, 1.5)]
 
 
+def test_token_route_prunes_common_words_exactly(spark):
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(40)]
+    index = {(t, c) for c in range(300) for t in [rng.choice(names), rng.choice(["inc", "co", "of"]), *(["big"] if c % 3 else [])]}
+    texts = [" ".join(rng.choices([*names, "inc", "co", "of", "big", "unknown"], k=rng.randint(1, 5))) for _ in range(150)]
+    count = Counter(t for t, _ in index)
+    want = set()
+    for text in set(texts):
+        sums = {}
+        for w in text.split():
+            for t, c in index:
+                if t == w:
+                    sums[c] = sums.get(c, 0) + 1 / count[w]
+        sums = {c: round(s, 9) for c, s in sums.items()}
+        best = sorted(sums.items(), key=lambda x: (-x[1], x[0]))[: C.TOP]
+        want |= {(text, c, s) for c, s in best if s > C.SHARE * best[0][1]}
+    rows = spark.createDataFrame([(t,) for t in set(texts)], "text string")
+    got = C.token_route(rows, spark.createDataFrame(sorted(index), "ltok string, coid long"))
+    assert {(r["text"], r["coid"], round(r["weight"], 7)) for r in got.collect()} == {(t, c, round(s, 7)) for t, c, s in want}
+
+
 def test_story_token_frequencies(spark):
     rows = [
         (0, "headline_token1", "text_token1, text_token2 text_token1 text_token1"),
@@ -111,9 +140,41 @@ def test_stages(spark):
     out = ml.Numerizer(keep=("story_id",)).transform(rows).orderBy("story_id").collect()
     assert [round(r["v"], 6) for r in out] == [1.336306, -0.267261, -1.069045] and {r["c"] for r in out} == {0.0} and "s" not in out[0]
     assert ml.front(rows, ["s"]).columns[0] == "s"
+    assert ml.FeatureSelector(["v"]).get_params() == {"features": ["v"]} and "fitted" not in ml.ModelWrapper(None, ["v"]).get_params()
     assert ml.Pipeline([ml.PipelinePrint("m"), ml.FeatureSelector(["v"])]).fit_transform(rows).columns == ["v"]
 
 
+def test_wrapped_model_equals_a_plain_fit(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 3))
+    y = (x @ [1.5, -2.0, 0.3] + rng.logistic(size=400) > 0.4).astype(float)
+    rows = spark.createDataFrame([(i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, label double")
+    model = ml.ModelWrapper(LogisticRegression(regParam=0.01, standardization=False, maxIter=200, tol=1e-12), ["a", "b", "c"])
+    got = [r["prediction"] for r in model.fit(rows).transform(rows).orderBy("id").collect()]
+    z = np.c_[x, np.ones(len(x))]
+    w, penalty = np.zeros(4), np.array([0.01, 0.01, 0.01, 0.0])
+    for _ in range(50):  # Newton steps
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) / len(z) + np.diag(penalty), z.T @ (p - y) / len(z) + penalty * w)
+    assert np.abs(np.r_[model.fitted.coefficients.toArray(), model.fitted.intercept] - w).max() < 1e-3
+    assert got == (z @ w > 0).astype(float).tolist()
+
+
+def test_repaired_text(spark):
+    texts = ["&#8217;s &eacute;t&eacute; &amp;amp; e\u0301", "", None, "&lt;b&gt;" * 1000, "&bogus; &#x1F600;"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", A.repair_text(F.col("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: None if t is None else unicodedata.normalize("NFC", html.unescape(t)) for i, t in enumerate(texts)}
+
+
+def test_corpus_f1(spark):
+    p = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 7)], "story_id long, coid long")
+    t = spark.createDataFrame([(1, 5), (3, 9)], "story_id long, coid long")
+    assert tuple(G.corpus_f1(p, t).first()) == (3, 2, 1, 1 / 3, 0.5, 0.4)
+    assert tuple(G.corpus_f1(p.limit(0), t.limit(0)).first()) == (0, 0, 0, 0.0, 0.0, 0.0)
+
+
 def test_streaming(kb, spark, tmp_path):
     from spindrel.streaming.mentions import tag_stream
 
