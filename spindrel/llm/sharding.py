@@ -30,6 +30,18 @@ BLOCK_ROWS = 1 << 17
 _NUMPY_MAX = 10**9
 
 
+def log_ratio(n: int, d: int) -> float:
+    """log((n + d)! / n!), to about 1e-8 also where both factorials' logarithms are near 10^13.
+
+    For large n a difference of Stirling series, term by term.
+    """
+    m = n + d
+    if min(n, m) < 1000 or max(n, m) < 1 << 20:
+        return math.lgamma(m + 1) - math.lgamma(n + 1)
+    tail = lambda x: 1 / (12 * x) - 1 / (360 * x**3)
+    return (m + 0.5) * math.log1p(d / n) + d * (math.log(n) - 1) + tail(m) - tail(n)
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
     """How many of ``sample`` rows drawn from good + bad are good; any population.
 
@@ -42,17 +54,23 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -
     if low == high:
         return low
     lg = math.lgamma
-    log_p = lambda k: -(lg(k + 1) + lg(good - k + 1) + lg(sample - k + 1) + lg(bad - sample + k + 1))
-    total = lg(good + 1) + lg(bad + 1) + lg(sample + 1) + lg(good + bad - sample + 1) - lg(good + bad + 1)
     mode = min(high, max(low, (sample + 1) * (good + 1) // (good + bad + 2)))
-    top = log_p(mode)
-    p = math.exp(min(0.0, top + total))
-    w = 1 + p / 2
+    at = (mode, good - mode, sample - mode, bad - sample + mode)
+
+    def log_p(k: int) -> float:
+        """The logarithm of the probability of ``k`` over that of the mode."""
+        d = k - mode
+        return -sum(log_ratio(n, x) for n, x in zip(at, (d, -d, -d, d), strict=True))
+
+    total = lg(good + 1) + lg(bad + 1) + lg(sample + 1) + lg(good + bad - sample + 1) - lg(good + bad + 1)
+    # Only the proposal depends on this number; a smaller one gives a wider proposal.
+    p = math.exp(min(0.0, total - sum(lg(n + 1) for n in at))) * 0.99
+    w = 1 + p / 1.98
     while True:
         u, v = rng.random(), rng.random()
         y = v * w / p if u <= w / (1 + w) else (w - math.log(v or 1e-300)) / p
         k = mode + (1 if rng.random() < 0.5 else -1) * round(y)
-        if low <= k <= high and math.log(rng.random() or 1e-300) + min(0.0, w - p * y) <= log_p(k) - top:
+        if low <= k <= high and math.log(rng.random() or 1e-300) + min(0.0, w - p * y) <= log_p(k):
             return k
 
 
@@ -96,13 +114,21 @@ def shard_blocks(rows: int, shards: int, block_rows: int = BLOCK_ROWS) -> tuple[
     return tuple(np.array(out, np.int64).T)
 
 
-def _dealer(parts: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, seed: int):
+def _dealer(parts: np.ndarray, sizes: np.ndarray, rows: int, shards: int, block_rows: int, seed: int):
+    """Gives each row its block, the block's shard and first slot, and a key that permutes the block.
+
+    Tasks form the blocks from their number by themselves.
+    """
+    layout: list[tuple] = []
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def deal(rows: pd.Series) -> pd.DataFrame:
-        rows = rows.to_numpy()
-        part, pos = rows >> POSITION_BITS, rows & ((1 << POSITION_BITS) - 1)
-        block, key = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int64)
+    def deal(ids: pd.Series) -> pd.DataFrame:
+        if not layout:
+            layout.append(shard_blocks(rows, shards, block_rows))
+        shard, first, blocks = layout[0]
+        ids = ids.to_numpy()
+        part, pos = ids >> POSITION_BITS, ids & ((1 << POSITION_BITS) - 1)
+        block, key = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int64)
         for p in np.unique(part):
             if p not in held:
                 held.clear()
@@ -112,7 +138,7 @@ def _dealer(parts: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, seed: int)
                 held[p] = rng.permutation(dealt), rng.integers(0, 1 << 63, len(dealt), dtype=np.int64)
             own = part == p
             block[own], key[own] = (x[pos[own]] for x in held[p])
-        return pd.DataFrame({"block": block, "key": key})
+        return pd.DataFrame({"block": block, "shard": shard[block].astype(np.int32), "first": first[block], "key": key})
 
     return deal
 
@@ -130,20 +156,16 @@ def uniform_shuffle(rows: DataFrame, shards: int = 40, seed: int = 42, block_row
     task that is run again deals the same rows the same way.
     """
     scratch = Scratch(rows.sparkSession, "shards")
-    rows = without(rows, "shard", "slot", "__row", "__to")
+    rows = without(rows, "shard", "slot", "__row", "__to", "__block")
     rows = scratch.write(rows.withColumn("__row", F.monotonically_increasing_id()))
     found = rows.groupBy(F.shiftright("__row", POSITION_BITS).alias("p")).count().collect()  # a row for each partition
     found = np.array(sorted(tuple(r) for r in found), np.int64).reshape(-1, 2)
-    shard, first, size = shard_blocks(int(found[:, 1].sum()), shards, block_rows)
-    deal = F.pandas_udf(_dealer(found[:, 0], found[:, 1], size, seed), "block int, key long")
-    dealt = rows.withColumn("__to", deal("__row"))
-    of = dict(enumerate(shard.tolist()))
-    lookup = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("__to.block") + 1)
-    if len(of) == shards:
-        place, offset = F.col("__to.block"), F.lit(0)
-    else:
-        place, offset = lookup(shard), lookup(first)
-    order = Window.partitionBy("__to.block").orderBy("__to.key", "__row")
+    n = int(found[:, 1].sum())
+    blocks = sum(max(1, math.ceil((n // shards + (s < n % shards)) / block_rows)) for s in range(shards))
+    deal = F.pandas_udf(_dealer(found[:, 0], found[:, 1], n, shards, block_rows, seed), "block int, shard int, first long, key long")
+    dealt = rows.withColumn("__to", deal("__row")).withColumn("__block", F.col("__to.block"))
+    dealt = dealt.repartitionById(blocks, F.col("__block"))  # one block for each task
+    order = Window.partitionBy("__block").orderBy("__to.key", "__row")
     return dealt.withColumns(
-        {"shard": place.cast("int"), "slot": (offset + F.row_number().over(order) - 1).cast("long")}
-    ).drop("__row", "__to")
+        {"shard": F.col("__to.shard"), "slot": (F.col("__to.first") + F.row_number().over(order) - 1).cast("long")}
+    ).drop("__row", "__to", "__block")

@@ -124,7 +124,7 @@ def bucket_forest(x: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
     return x[child], x[root[child]]
 
 
-def _edges(deep: bool):
+def _edges(deep: bool, most: int = BUCKET):
     """Reads buckets sorted by key; gives forest edges, and the rows of too large buckets with b null."""
 
     def bucket(table: int, x: np.ndarray):
@@ -153,7 +153,7 @@ def _edges(deep: bool):
                 a.append(x[pairs])
                 b.append(x[pairs + 1])
                 for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                    if n > BUCKET and not deep:
+                    if n > most and not deep:
                         left.append(x[s : s + n])
                         tables.append(t[s : s + n])
                         continue
@@ -178,7 +178,7 @@ def _edges(deep: bool):
             if not len(t):
                 continue
             last = len(t) - int(np.searchsorted(((t != t[-1]) | (k != k[-1]))[::-1], True))
-            if over is None and len(t) - last > BUCKET and not deep:
+            if over is None and len(t) - last > most and not deep:
                 yield done(t[:last], k[:last], x[:last])
                 over = (t[-1], k[-1])
                 t, k, x, last = t[last:], k[last:], x[last:], len(t) - last
@@ -197,17 +197,17 @@ def _second(table: int) -> list[int]:
     return masks([b for b in range(BITS) if not MASKS[table] >> b & 1])
 
 
-def _buckets(rows: DataFrame, deep: bool) -> DataFrame:
+def _buckets(rows: DataFrame, deep: bool, most: int) -> DataFrame:
     out = rows.repartition("t", "k").sortWithinPartitions("t", "k", "x").select("t", "k", "x")
-    return out.mapInArrow(_edges(deep), "a long, b long, t long")
+    return out.mapInArrow(_edges(deep, most), "a long, b long, t long")
 
 
-def forest(fps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) that connect distinct fingerprints ``fp`` as all links within the radius do."""
+def forest(fps: DataFrame, scratch: Scratch, most: int = BUCKET) -> DataFrame:
+    """Edges (a, b) that connect distinct fingerprints ``fp`` as all links within the radius do; buckets of over ``most`` go to finer masks."""
     key = lambda m: F.col("fp").bitwiseAND(F.lit(_signed(m)))
     tables = F.array(*[F.struct(F.lit(i).cast("long").alias("t"), key(m).alias("k")) for i, m in enumerate(MASKS)])
     rows = fps.select(F.explode(tables).alias("s"), F.col("fp").alias("x")).select("s.t", "s.k", "x")
-    found = scratch.write(_buckets(rows, deep=False))
+    found = scratch.write(_buckets(rows, False, most))
     large = found.where("b is null")
     if large.isEmpty():
         return found.select("a", "b")
@@ -222,7 +222,7 @@ def forest(fps: DataFrame, scratch: Scratch) -> DataFrame:
         for i, m in enumerate(MASKS)
     ]
     rows = large.select(F.explode(F.coalesce(*each)).alias("s"), F.col("a").alias("x")).select("s.t", "s.k", "x")
-    more = scratch.write(_buckets(rows, deep=True))
+    more = scratch.write(_buckets(rows, True, most))
     return found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
 
 

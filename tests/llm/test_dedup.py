@@ -142,14 +142,16 @@ def test_bucket_by_keys_equals_by_pairs(seed):
         assert partition(simhash._roots(len(x), *edges).tolist()) == want
 
 
-def test_forest_of_dense_fingerprints(spark):
+@pytest.mark.parametrize("most", [simhash.BUCKET, 4])
+def test_forest_of_dense_fingerprints(spark, most):
+    """Also where most buckets go through the finer masks."""
     rng, x = random.Random(5), set()
     for _ in range(4):
         c = rng.getrandbits(64)
         x |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(25)}
     x = sorted(x)
     fps = spark.createDataFrame([(simhash._signed(v),) for v in x], "fp long").repartition(3)
-    edges = simhash.forest(fps, Scratch(spark, "t")).collect()
+    edges = simhash.forest(fps, Scratch(spark, "t"), most).collect()
     at = {simhash._signed(v): i for i, v in enumerate(x)}
     ends = np.array([(at[r["a"]], at[r["b"]]) for r in edges]).T
     assert partition(simhash._roots(len(x), *ends).tolist()) == partition(classes_of(x))
@@ -167,11 +169,10 @@ def drive(reader, rows, size):
 
 
 @pytest.mark.parametrize("size", [1, 3, 7, 1000])
-def test_reader_hands_large_buckets_on_whole(monkeypatch, size):
+def test_reader_hands_large_buckets_on_whole(size):
     """A bucket beyond the limit comes out row by row, whatever batches it is cut into."""
-    monkeypatch.setattr(simhash, "BUCKET", 5)
     rows = [(0, 1, i) for i in range(2)] + [(1, 4, 1 << i) for i in range(20)] + [(1, 9, 3), (2, 0, 8)]
-    out = drive(simhash._edges(False), rows, size)
+    out = drive(simhash._edges(False, 5), rows, size)
     assert sorted(r["a"] for r in out if r["b"] is None) == sorted(1 << i for i in range(20))
     assert all(r["t"] == 1 for r in out if r["b"] is None)
     assert [(r["a"], r["b"]) for r in out if r["b"] is not None] in ([(0, 1)], [(1, 0)])

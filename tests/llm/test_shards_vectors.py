@@ -1,5 +1,7 @@
 """Sharding and nearest neighbours."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -29,6 +31,12 @@ def test_draws_beyond_numpy_have_its_law(monkeypatch):
     assert sharding.split(rng, np.array([5, 0, 7]), 12).tolist() == [5, 0, 7]
 
 
+@pytest.mark.parametrize(("n", "d"), [(0, 7), (5, -5), (999, 3), (10**6, 5000), (2 * 10**6, -1999), (10**9, 777), (10**12, 50), (10**12, -300)])
+def test_ratios_of_factorials(n, d):
+    want = math.fsum(math.log(n + i) for i in range(1, d + 1)) if d > 0 else -math.fsum(math.log(n - i) for i in range(-d))
+    assert abs(sharding.log_ratio(n, d) - want) < 1e-8
+
+
 @pytest.mark.parametrize(("rows", "block"), [(0, 4), (3, 4), (1000, 1 << 17), (1000, 7)])
 def test_shuffle(spark, rows, block):
     docs = spark.range(rows).selectExpr("if(id % 5 = 0, null, id) as doc_id", "repeat('x', cast(id % 3 as int)) as text", "'old' as shard", "1 as __row", "id")
