@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/spindrel/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        for made in _watching:
+            made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -53,10 +57,33 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that this object wrote and no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Remove all tables that this object wrote."""
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_watching: list[list[Scratch]] = []
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Removes what operators write within, at its end: what is kept must be written elsewhere by then."""
+    made: list[Scratch] = []
+    _watching.append(made)
+    try:
+        yield
+    finally:
+        _watching.remove(made)
+        for scratch in made:
+            scratch.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,8 +10,10 @@ bound.  A pair at 0.8 shares no key with probability (1 - 0.8^6)^50, about
 2.5e-7; a closer pair less often.
 
 Only keys that nodes share are kept.  After the fingerprints, two rounds compare
-one node of each bucket with the others; then all pairs of a bucket that are not
-yet in one class are compared, so no candidate is left out.
+one node of each bucket with the others.  Then the members of buckets that still
+hold several classes meet in tasks, block by block, and all of different classes
+are compared there, so no candidate is left out; only pairs near the bound come
+out of the task, to be checked on whole hashes.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .components import components
 from .simhash import _LOWER, BITS, SHINGLES_AT_ONCE, forest
 
 SHINGLE, BANDS, ROWS = 5, 50, 6
+#: Members of a bucket that meet in a task, at most twice as many.
+BLOCK = 2048
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
 RUNS_AT_ONCE = 1 << 10
@@ -114,13 +118,81 @@ def _stars(members: DataFrame, first) -> DataFrame:
     return rows.select(F.col("lead.x").alias("u"), F.col("x").alias("v"))
 
 
-def _all_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs of a bucket that are in different classes."""
-    parted = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    rows = scratch.write(members.join(parted.select(F.col("k").alias("__k")), F.col("k") == F.col("__k"), "left_semi"))
-    a, b = (rows.select("k", *[F.col(c).alias(f"{c}{i}") for c in "xcn"]) for i in "12")
-    both = a.join(b, "k").where((F.col("x1") < F.col("x2")) & (F.col("c1") != F.col("c2")) & _sizes(F.col("n1"), F.col("n2")))
-    return both.select(F.col("x1").alias("u"), F.col("x2").alias("v"))
+def _short(texts: pd.Series) -> pd.Series:
+    """The lower halves of the hashes of each set, each once."""
+    return pd.Series([np.unique(runs(t).astype("<u4")).tobytes() for t in texts], dtype=object)
+
+
+def near_pairs(own: np.ndarray, c: np.ndarray, sets: list[np.ndarray], within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of sets (32-bit, each number once) of different classes that may reach the bound.
+
+    ``within``: pairs of one block, else only those between two (``own``).
+    Halves of hashes can only be equal more often than wholes, which makes sets
+    smaller; the slack allows for several times as often as that is expected.
+    """
+    sizes = np.array([len(x) for x in sets])
+    words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    kinds, of, many = np.unique(c, return_inverse=True, return_counts=True)
+    largest = kinds[np.argmax(many)]
+    place, u, v = np.arange(len(sets)), [], []
+    held = np.zeros(len(words), bool)
+    for i in np.flatnonzero(c != largest):
+        mine = inverse[starts[i] : starts[i + 1]]
+        held[mine] = True
+        common = np.add.reduceat(held[inverse], starts[:-1], dtype=np.int64)
+        held[mine] = False
+        slack = 9 * (2 + np.maximum(sizes, sizes[i]).astype(float) ** 2 / 2**31)
+        near = common * LEAST[1] + slack >= LEAST[0] * (sizes + sizes[i] - common)
+        near &= (c != c[i]) & ((c == largest) | (place > i)) & (True if within else own != own[i])
+        u.append(np.full(near.sum(), i))
+        v.append(np.flatnonzero(near))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (u, v))
+
+
+def _compare(batches):
+    """Reads members sorted by bucket and blocks; gives only the pairs that may reach the bound."""
+    held, key = [], None
+
+    def done():
+        rows = pd.concat(held, ignore_index=True)
+        sets = [np.frombuffer(b, "<u4") for b in rows["set"]]
+        u, v = near_pairs(rows["own"].to_numpy(), rows["c"].to_numpy(), sets, key[1] == key[2])
+        x = rows["x"].to_numpy()
+        return pd.DataFrame({"u": x[u], "v": x[v]})
+
+    for pdf in batches:
+        keys = pdf[["k", "lo", "hi"]].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)], strict=True):
+            if a == b:
+                continue
+            if held and tuple(keys[a]) != key:
+                yield done()
+                held = []
+            key = tuple(keys[a])
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield done()
+
+
+def _rest(members: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Pairs of different classes that share a bucket and may reach the bound.
+
+    The members of a bucket meet in a task, which compares them and gives only
+    the pairs that come near; a bucket of over ``block`` members is cut into
+    blocks, and a task gets two of them.
+    """
+    parted = members.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("m")).where("least <> most")
+    left = scratch.write(members.join(parted.select(F.col("k").alias("__k"), "m"), F.col("k") == F.col("__k")).select("k", "x", "c", "m"))
+    marks = nodes.join(left.select(F.col("x").alias("u")).distinct(), F.col("node") == F.col("u"), "left_semi").select(F.col("row").alias("__row"))
+    texts = marked(rows, "__row", scratch.write(row_marks(marks, "__row")), keep=True)
+    sets = texts.select(F.col("__sketch.node").alias("x"), F.pandas_udf(_short, "binary")(F.col(f"`{text_col}`")).alias("set"))
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("x"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("lo"), F.greatest(j, F.col("own")).alias("hi")))
+    each = left.withColumn("own", own).withColumn("p", F.explode(pairs)).select("k", "p.lo", "p.hi", "own", "c", "x").join(sets, "x")
+    return each.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi").mapInPandas(_compare, "u long, v long")
 
 
 def _by_fingerprint(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -170,7 +242,7 @@ def classes(rows: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
         elif step < 3:
             found = _stars(members, (F.min, F.max)[step - 1])
         else:
-            found = _all_pairs(members, scratch)
+            found = scratch.write(_rest(members, rows, nodes, text_col, scratch))
         pairs = found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")

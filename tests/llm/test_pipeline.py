@@ -1,10 +1,13 @@
 """The pipeline and the registered queries, against plain Python."""
 
+import glob
+
 import __spark_entry__
 import corpus_pipeline
 import duckdb
 import pytest
 from spindrel.llm import toxicity
+from spindrel.llm.common import shared_dir
 from spindrel.llm.queries import ORACLE, QUERIES
 
 
@@ -33,7 +36,10 @@ def test_stages(spark, sf, tmp_path):
         else:
             assert out.columns == first.columns
         docs = out
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{root}/spindrel/*/*"))
     assert sorted(ids(corpus_pipeline.run(spark, sf))) == sorted(ids(docs))
+    assert len(set(glob.glob(f"{root}/spindrel/*/*")) - before) == 1  # the result alone is left
 
 
 def test_registered():

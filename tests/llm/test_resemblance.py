@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spindrel.llm import common, resemblance, simhash
@@ -77,6 +79,31 @@ def test_fingerprints_are_those_of_the_sets():
         assert bin(resemblance.print_of(x) % (1 << 64)).count("1") == bin(want).count("1")
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_blocks_find_every_near_pair_of_different_classes(spark, block):
+    rng = np.random.default_rng(block)
+    base = rng.integers(0, 1 << 32, 60, dtype=np.uint64)
+    sets, c = [], []
+    for i in range(40):
+        x = base.copy()
+        at = rng.choice(60, rng.integers(0, 14), replace=False)
+        x[at] = rng.integers(0, 1 << 32, len(at), dtype=np.uint64)
+        sets.append(np.unique(x.astype("<u4")))
+        c.append(i % 7 if i % 3 else 99)
+    rows = [(k, lo, hi, own, c[x], x, sets[x].tobytes()) for k in (5, 6) for x in range(k - 5, 40) for own, lo, hi in blocks(x, block)]
+    df = spark.createDataFrame(rows, "k long, lo int, hi int, own int, c long, x long, set binary").repartition(3, "k", "lo", "hi")
+    got = {(min(r), max(r)) for r in df.sortWithinPartitions("k", "lo", "hi").mapInPandas(resemblance._compare, "u long, v long").collect()}
+    sure = lambda i, j: 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if c[i] != c[j] and sure(i, j)}
+    assert want <= got and all(c[i] != c[j] for i, j in got) and len(want) > 20
+
+
+def blocks(x, size):
+    n = -(-40 // size)
+    own = x * 7919 % n
+    return [(own, min(own, j), max(own, j)) for j in range(n)]
+
+
 def test_hot_keys_are_joined_where_they_stand(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 50)
     scratch = common.Scratch(spark, "t")
