@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.llm import bpe, exact_dedup, mixing, resemblance, toxicity
-from spindrel.llm.common import Scratch, table
+from spindrel.llm.common import Scratch, cleared, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``."""
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+        with cleared():
+            docs = scratch.write(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
 
 
