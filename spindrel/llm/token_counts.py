@@ -340,6 +340,15 @@ def _edit(path: str):
     return run
 
 
+def _plant_and_edit(path: str):
+    def run(texts: pd.Series, edits: pd.Series) -> pd.DataFrame:
+        planted = _plant(path)(texts)
+        edited = _edit(path)(texts, planted.pop("tree"), edits)
+        return pd.concat([planted, edited], axis=1)
+
+    return run
+
+
 def plant(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, n_pieces (pre-tokens) and the packed ``tree`` of each whole text.
 
@@ -370,12 +379,14 @@ def apply_edits(docs: DataFrame, edits: Column, path: str, text_col: str = "text
 def count(docs: DataFrame, edits: Column, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with token counts before and after edits of each whole text, through the tree of every document.
 
-    Results: those of ``plant`` and of ``apply_edits``; columns of their names
-    are replaced, others pass unchanged.
+    Results: those of ``plant`` and of ``apply_edits``, one after the other in
+    one Python worker; columns of their names are replaced, others pass
+    unchanged.
     """
-    base = without(docs, "n_tokens_after", "n_encoded_again", "text_after", "__edits")
-    planted = plant(base.withColumn("__edits", edits), path, text_col)
-    return apply_edits(planted, F.col("__edits"), path, text_col).drop("__edits")
+    base = without(docs, "n_tokens", "n_pieces", "n_tokens_after", "n_encoded_again", "text_after", "tree", "__counts")
+    kind = "n_tokens long, n_pieces long, n_tokens_after long, n_encoded_again long, text_after string, tree binary"
+    found = F.pandas_udf(_plant_and_edit(path), kind)(F.col(text_col), edits.cast(EDITS))
+    return base.withColumn("__counts", found).select(*[F.col(f"`{c}`") for c in base.columns], "__counts.*")
 
 
 #: What redaction looks for.
