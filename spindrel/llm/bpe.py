@@ -37,7 +37,7 @@ from .common import held, without
 #: The words of the pattern, in the order in which they are tried.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of a text that are handled at a time; entries of each half of a cache.
-WINDOW, CACHE = 1 << 16, 150_000
+WINDOW, CACHE = 1 << 16, 60_000
 #: Words of more characters are not cached; bytes of a word that are merged at a time.
 LONG, STEP = 512, 8192
 _NONE = 1 << 60

@@ -196,5 +196,20 @@ def held(key: tuple, make):
     """
     if _slot[0] != key:
         _slot[:] = [None, None]
+        give_back()
         _slot[:] = [key, make()]
     return _slot[1]
+
+
+def give_back() -> None:
+    """Returns to the system what this Python worker no longer uses, where the system's allocator can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_join, marked, row_marks, without
+from .common import Scratch, give_back, hot_join, marked, row_marks, without
 from .components import components
 from .simhash import _LOWER, BITS, SHINGLES_AT_ONCE, forest
 
@@ -174,6 +174,8 @@ def _compare(batches):
             held.append(pdf.iloc[a:b])
     if held:
         yield done()
+    held.clear()
+    give_back()
 
 
 def _rest(members: DataFrame, rows: DataFrame, nodes: DataFrame, text_col: str, scratch: Scratch, block: int = BLOCK) -> DataFrame:
